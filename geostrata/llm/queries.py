@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geostrata.llm import mixing
+from geostrata.llm import decontamination, line_templates, mixing
 from geostrata.session import table
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of templates that recur in at least three documents."""
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, weights 5, 2, 1 by source, 150 % of all words, at most two epochs."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {"op9_source_mixing": op9_source_mixing}
-SQL = {"op9_source_mixing": mixing.mix_sql()}
+QUERIES = {
+    "op2_line_templates": op2_line_templates,
+    "op5_decontamination": op5_decontamination,
+    "op9_source_mixing": op9_source_mixing,
+}
+SQL = {
+    "op2_line_templates": line_templates.drop_recurring_sql(),
+    "op5_decontamination": decontamination.leaks_sql(),
+    "op9_source_mixing": mixing.mix_sql(),
+}
