@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geostrata.llm import decontamination, line_templates, mixing
+from geostrata.llm import chat, decontamination, language, line_templates, media, mixing
 from geostrata.session import table
 
 
@@ -13,11 +14,28 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs.select("doc_id", "text"), language.fit(docs.select("doc_id", "text", "lang")))
+    return out.select("doc_id", (~language.is_train(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as 8-bit sound in a deduplicated chunk store, read back."""
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, repaired and rendered."""
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, weights 5, 2, 1 by source, 150 % of all words, at most two epochs."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
@@ -25,8 +43,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_line_templates": op2_line_templates,
+    "op3_language_id": op3_language_id,
+    "op4_media_chunks": op4_media_chunks,
     "op5_decontamination": op5_decontamination,
     "op9_source_mixing": op9_source_mixing,
+    "op10_chat_repair": op10_chat_repair,
 }
 SQL = {
     "op2_line_templates": line_templates.drop_recurring_sql(),
