@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, decontamination, language, line_templates, media, mixing
+from geostrata.llm import chat, decontamination, language, line_templates, media, mixing, ngram_join
 from geostrata.session import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 5-word shingles at a similarity of 0.8."""
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines of templates that recur in at least three documents."""
     return line_templates.drop_recurring(table(spark, sf_dir, "documents"))
@@ -42,6 +47,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_line_templates": op2_line_templates,
     "op3_language_id": op3_language_id,
     "op4_media_chunks": op4_media_chunks,
@@ -50,6 +56,7 @@ QUERIES = {
     "op10_chat_repair": op10_chat_repair,
 }
 SQL = {
+    "op1_ngram_join": ngram_join.components_sql(),
     "op2_line_templates": line_templates.drop_recurring_sql(),
     "op5_decontamination": decontamination.leaks_sql(),
     "op9_source_mixing": mixing.mix_sql(),
