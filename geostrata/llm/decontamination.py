@@ -4,8 +4,8 @@ A seed is a fixed mask over consecutive words: the words at its positions are ha
 ignored, so a hit survives substitutions at ignored positions. The seeds of all benchmark items are
 joined with the seeds at every position of every document. Around a hit, item and document are laid on
 each other along the hit's diagonal, and some window of 13 item words must agree in at least 11. The
-two masks together hit every such window: for any two substitutions among 13 words one of them still
-fits (``tests/llm`` verifies this over all pairs), so nothing is lost against a brute-force search.
+mask hits every such window: for any two substitutions among 13 words it still fits somewhere
+(``tests/llm`` verifies this over all pairs), so nothing is lost against a brute-force search.
 
 Items of fewer than 13 words must agree in all words; those shorter than a mask get a contiguous mask
 of their own length. The items' seeds are broadcast after their number is checked; beyond the bound
@@ -16,11 +16,13 @@ Nulls and texts without words: never a hit. Repeated rows each count. Empty tabl
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions of the two masks. Together they hit every window of 13 words with up to two substitutions.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
+#: Positions of the mask. It hits every window of 13 words with up to two substitutions.
+MASKS = ((0, 1, 3, 6, 7),)
 WINDOW, LEAST = 13, 11
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_BROADCAST_SEEDS = 2_000_000
@@ -32,15 +34,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column, n: Column, masks: list[tuple[int, ...]]) -> Column:
-    """(seed, at) of every mask at every position where it fits."""
-
-    def one(k: int, mask: tuple[int, ...]) -> Column:
-        at = F.sequence(F.lit(0), n - F.lit(mask[-1] + 1))
-        made = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(k), *[F.get(words, i + F.lit(m)) for m in mask]).alias("seed"), i.alias("at")))
-        return F.when(n > F.lit(mask[-1]), made).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>"))
-
-    return F.concat(*[one(k, m) for k, m in enumerate(masks)])
+def seeds(words: Column, mask: tuple[int, ...]) -> Column:
+    """The hash of the words at the mask's positions, for every place where the mask fits."""
+    last = F.size(words) - F.lit(mask[-1] + 1)
+    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + F.lit(m)) for m in mask]))
+    return F.when(last >= 0, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def best_window(doc: Column, item: Column, start: Column) -> Column:
@@ -57,15 +55,18 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     items = items.withColumn("n_item", F.size("item")).where(F.col("n_item") > 0)
     short = [r[0] for r in items.where(F.col("n_item") <= MASKS[0][-1]).select("n_item").distinct().collect()]
     masks = [*MASKS, *[tuple(range(k)) for k in sorted(short)]]
-    wanted = items.select("item_id", "item", F.explode(seeds(F.col("item"), F.col("n_item"), masks)).alias("s"))
-    wanted = wanted.select("item_id", "item", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("doc"))
-    found = texts.select("doc_id", "doc", F.explode(seeds(F.col("doc"), F.size("doc"), masks)).alias("s"))
-    found = found.select("doc_id", "doc", F.col("s.seed").alias("seed"), F.col("s.at").alias("doc_at"))
+
+    def at_all(rows: DataFrame, words: str, place: str) -> DataFrame:
+        one = [rows.select("*", F.lit(k).alias("mask"), F.posexplode(seeds(F.col(words), m)).alias(place, "seed")) for k, m in enumerate(masks)]
+        return reduce(DataFrame.unionByName, one)
+
+    wanted = at_all(items.drop("n_item"), "item", "item_at")
+    found = at_all(texts, "doc", "doc_at")
     if wanted.count() <= MAX_BROADCAST_SEEDS:
-        hits = found.join(F.broadcast(wanted), "seed").withColumn("start", F.col("doc_at") - F.col("item_at"))
+        hits = found.join(F.broadcast(wanted), ["mask", "seed"]).withColumn("start", F.col("doc_at") - F.col("item_at"))
     else:
-        at = found.drop("doc").join(wanted.drop("item"), "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("start")).distinct()
+        at = found.drop("doc").join(wanted.drop("item"), ["mask", "seed"]).select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("start")).distinct()
         hits = at.join(items.select("item_id", "item"), "item_id").join(texts, "doc_id")
     judged = hits.withColumn("n_equal", best_window(F.col("doc"), F.col("item"), F.col("start")))
     enough = F.col("n_equal") >= F.when(F.size("item") >= WINDOW, F.lit(LEAST)).otherwise(F.size("item"))
