@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, decontamination, language, line_templates, lm_scoring, media, mixing, ngram_join
+from geostrata.llm import chat, decontamination, language, line_templates, lm_scoring, media, mixing, ngram_join, toxicity
 from geostrata.session import table
 
 
@@ -36,6 +36,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (~toxicity.is_train(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from six sevenths of the ids."""
     return lm_scoring.score(table(spark, sf_dir, "documents"))
@@ -57,6 +64,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_media_chunks": op4_media_chunks,
     "op5_decontamination": op5_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_repair": op10_chat_repair,
