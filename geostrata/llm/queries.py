@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, decontamination, language, line_templates, lm_scoring, media, mixing, ngram_join, toxicity
+from geostrata.llm import chat, decontamination, language, line_templates, lm_scoring, media, mixing, ngram_join, token_counts, toxicity
 from geostrata.session import table
 
+#: Folder of the public vocabularies.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 5-word shingles at a similarity of 0.8."""
@@ -36,6 +39,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, before and after three edits of each."""
+    docs = token_counts.three_edits(table(spark, sf_dir, "documents"))
+    return token_counts.count_with_edits(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labels of four fifths of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +73,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_media_chunks": op4_media_chunks,
     "op5_decontamination": op5_decontamination,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
