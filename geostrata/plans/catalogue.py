@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from geostrata.plans import raster_queries  # noqa: F401
+from geostrata.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
