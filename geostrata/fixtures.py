@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geostrata.functions.camera import Camera
 from geostrata.session import table
 
 PTS_SQL = """pts AS (SELECT l_partkey::DOUBLE AS x, l_suppkey::DOUBLE AS y, l_extendedprice / 1000 AS z, l_quantity AS red, l_discount * 100 AS green, l_tax * 100 AS blue,
@@ -56,3 +57,15 @@ def imgs(spark: SparkSession, d: str) -> DataFrame:
 def vec(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding")
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *[e[k].cast("double").alias(n) for k, n in enumerate("xyz")], "label")
+
+
+#: Metadata of one published satellite camera.
+CAMERA_METADATA = {
+    "HEIGHT_OFF": "31", "HEIGHT_SCALE": "501", "LAT_OFF": "-34.4732", "LAT_SCALE": "0.0708", "LONG_OFF": "-58.6096", "LONG_SCALE": "0.09279999999999999",
+    "LINE_OFF": "21477", "LINE_SCALE": "21478", "SAMP_OFF": "21249", "SAMP_SCALE": "21250",
+    "LINE_DEN_COEFF": "1 0.0001912806 0.0005166397 -1.45044e-05 -3.860133e-05 2.634582e-06 -4.551145e-06 6.859296e-05 -0.0002410782 9.753265e-05 -1.456261e-07 5.310624e-08 -1.913253e-05 3.18203e-08 3.870586e-07 -0.000206842 9.128349e-08 0 -2.506197e-06 0 ",
+    "LINE_NUM_COEFF": "0.0002703625 0.04284488 1.046869 0.004713542 -0.0001706129 -1.525177e-07 1.255623e-05 -0.0005820134 -0.000710512 -2.510676e-07 3.179984e-06 3.120413e-06 3.19923e-05 4.194369e-06 7.475295e-05 0.0003630791 0.0001021649 4.493725e-07 3.156566e-06 4.596505e-07 ",
+    "SAMP_DEN_COEFF": "1 0.0003374458 0.0008965622 -0.0003730697 -2.666499e-05 -2.711356e-06 5.454434e-07 4.485658e-07 2.534922e-05 -4.546709e-06 0 -1.056044e-07 -5.626866e-07 2.243313e-08 -2.108053e-07 9.199534e-07 0 -3.887594e-08 -1.437016e-08 0 ",
+    "SAMP_NUM_COEFF": "0.006585953 -1.032582 0.001740937 0.03034485 0.0008819178 -0.000167943 0.0001519299 -0.00626254 -0.00107337 9.099077e-06 2.608985e-06 -2.947004e-05 2.231277e-05 4.587831e-06 4.16379e-06 0.0003464555 3.598323e-08 -2.859541e-06 5.159311e-06 -1.349187e-07 ",
+}
+CAMERA = Camera.of_metadata(CAMERA_METADATA)
