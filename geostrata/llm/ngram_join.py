@@ -24,7 +24,8 @@ pruned by their roots before any leaf is shipped, and blocks that are linked to
 are never paired. So a group of m near copies costs m verified links, not m squared.
 
 Nulls and texts without words: an empty set, linked with nothing. Fewer than five words: one shingle,
-the whole sequence. Repeated rows each give a row. An empty table gives none.
+the whole sequence. Repeated rows each give a row; rows of one id count as one node. An empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import Words, chunks, mix64, table64, utf8
 from geostrata.operators.components import connected_components
-from geostrata.session import materialize
+from geostrata.session import discard, materialize, release
 
 N, NUM, DEN = 5, 80, 100
 FANOUT, BLOCK, PAIR_BYTES = 8, 256, 8_000_000
@@ -315,15 +316,14 @@ def id_bit(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("h")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, extra: str = "") -> DataFrame:
-    """The pairs (a, b and more) that link, by their exact sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
-    words = bit_filter(docs.sparkSession, ends.select(id_bit(F.col("doc"))).distinct())
-    sets = docs.select("doc_id", "text", id_bit(F.col("doc_id"))).mapInArrow(wanted_sets(words), "doc_id long, set binary")
-    sets = materialize(sets.join(ends.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "ngram-sets")
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their exact sets: the sets travel to the pairs' first ends, then to their second."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    full = pairs
+    for end in ("a", "b"):
+        words = bit_filter(docs.sparkSession, pairs.select(id_bit(F.col(end))).distinct())
+        sets = docs.select("doc_id", "text", id_bit(F.col("doc_id"))).mapInArrow(wanted_sets(words), "doc_id long, set binary")
+        full = full.join(sets.select(F.col("doc_id").alias(end), F.col("set").alias(f"set_{end}")), end)
     return full.select(*pairs.columns, "set_a", "set_b").mapInArrow(verified, kinds)
 
 
@@ -338,43 +338,53 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = docs.mapInArrow(describe(shingles, weight), "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
     told = materialize(told, "ngram-documents")
     first = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"))
-    chosen = told.join(first, ["k1", "k2", "n", "doc_id"], "left_semi").select("doc_id", "n", "prefix", F.size("prefix").alias("p"))
-    rows = chosen.select(F.col("doc_id").alias("doc"), "p", F.explode("prefix").alias("token"))
+    chosen = told.join(first, ["k1", "k2", "n", "doc_id"], "left_semi")
+    rows = chosen.select(F.col("doc_id").alias("doc"), F.explode("prefix").alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    return told, materialize(rows.join(shared, "token"), "ngram-shared")
+    shared = materialize(rows.join(shared, "token"), "ngram-shared")
+    discard(heavy)
+    release(docs.sparkSession)
+    return told, shared
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(described documents, links (a, b) between class representatives that connect all components)."""
+    spark = docs.sparkSession
     told, shared = candidates(docs)
+    info = told.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "bits")
     # the most central document leads: the one with the largest share of its prefix in other documents
-    central = shared.groupBy("doc", "p").agg(F.count(F.lit(1)).alias("c")).select("doc", F.struct((F.col("c") / F.col("p")).alias("share"), (-F.col("doc")).alias("low")).alias("rank"))
+    central = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).join(info.select("doc", "n"), "doc")
+    central = central.select("doc", F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("doc")).alias("low")).alias("rank"))
     leader = shared.join(central, "doc").groupBy("token").agg(F.max("rank").alias("r")).select("token", (-F.col("r.low")).alias("leader"))
-    canopy = shared.join(leader, "token").select("leader", "doc").distinct()
-    info = told.select(F.col("doc_id").alias("doc"), "n", "bits").where("n > 0").dropDuplicates(["doc"])
-    canopy = materialize(canopy.join(info, "doc"), "ngram-canopies")
+    canopy = materialize(shared.join(leader, "token").select("leader", "doc").distinct(), "ngram-canopies")
+    discard(shared)
+    release(spark)
 
     # against the leader: one tree of a single leaf
-    led = canopy.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    heads = canopy.where("doc = leader").select(F.col("leader").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    led = canopy.where("doc <> leader").join(info, "doc").select(F.col("doc").alias("a"), F.col("leader").alias("b"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    heads = canopy.where("doc = leader").join(info, "doc").select(F.col("leader").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     star = led.join(heads, "b").where(f"{DEN} * n_a >= {NUM} * n_b and {DEN} * n_b >= {NUM} * n_a").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(leaf_pairs, "a long, b long")
-    star_links = materialize(verify(docs, materialize(star, "ngram-star")), "ngram-star-links")
+    star = materialize(star, "ngram-star")
+    release(spark)
+    star_links = materialize(verify(docs, star), "ngram-star-links")
+    discard(star)
+    release(spark)
 
     # the rest of each canopy, in blocks of documents of like size
-    marked = canopy.join(star_links.select(F.col("a").alias("doc"), F.col("b").alias("leader"), F.lit(True).alias("is_linked")), ["leader", "doc"], "left")
+    marked = canopy.join(star_links.select(F.col("a").alias("doc"), F.col("b").alias("leader"), F.lit(True).alias("is_linked")).distinct(), ["leader", "doc"], "left")
     marked = marked.withColumn("linked", F.coalesce("is_linked", F.col("doc") == F.col("leader"))).drop("is_linked")
     open_ = marked.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.max((~F.col("linked")).cast("int")).alias("open")).where("open = 1 and m > 2").select("leader", "m")
-    marked = marked.join(open_, "leader")
+    marked = marked.join(open_, "leader").join(info.select("doc", "n"), "doc")
     band = F.when(F.col("m") <= BLOCK, F.lit(0)).otherwise(1 + 2 * F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1.05))) + F.col("linked").cast("int"))
-    marked = materialize(marked.withColumn("band", band.cast("long")), "ngram-open")
+    marked = materialize(marked.select("leader", "doc", "linked", "m", band.cast("long").alias("band")), "ngram-open")
     sizes = marked.where("m > %d" % BLOCK).groupBy("leader", "band").agg(F.count(F.lit(1)).alias("of_band"))
     salt = F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce("of_band", F.lit(1)) / BLOCK))
-    placed = marked.join(sizes, ["leader", "band"], "left").select("leader", "doc", "n", "bits", "linked", "m", (F.col("band") * 1_000_000 + salt).alias("block"))
-    placed = materialize(placed, "ngram-blocks")
-    small = placed.where(f"m <= {BLOCK}").select("leader", F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), F.lit(0).alias("side"), "doc", "n", "linked", "bits")
+    placed = materialize(marked.join(sizes, ["leader", "band"], "left").select("leader", "doc", "linked", "m", (F.col("band") * 1_000_000 + salt).alias("block")), "ngram-blocks")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("block_a", "block_b")]
+    small = placed.where(f"m <= {BLOCK}").select("leader", *zero, F.lit(0).alias("side"), "doc", "linked")
 
-    large = placed.where(f"m > {BLOCK}")
-    tops = large.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(roots, "leader long, block long, lo long, hi long, shared long, linked boolean, bits binary")
+    large = placed.where(f"m > {BLOCK}").select("leader", "block", "doc", "linked")
+    tops = large.join(info, "doc").repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(roots, "leader long, block long, lo long, hi long, shared long, linked boolean, bits binary")
     tops = materialize(tops, "ngram-roots")
     x, y = tops.alias("x"), tops.alias("y")
     near = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.block") <= F.col("y.block")) & ~(F.col("x.linked") & F.col("y.linked"))
@@ -384,13 +394,21 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.col("x.lo") + F.col("y.lo")).alias("need"), F.least("x.shared", "y.shared").alias("shared"),
     )
     two = materialize(two.mapInArrow(root_pairs, "leader long, block_a long, block_b long"), "ngram-root-pairs")
-    sides = two.select("leader", "block_a", "block_b", F.explode(F.when(F.col("block_a") == F.col("block_b"), F.array(F.struct(F.lit(0).alias("side"), F.col("block_a").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block_a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block"))))).alias("s"))
-    shipped = sides.select("leader", "block_a", "block_b", F.col("s.side").alias("side"), F.col("s.block").alias("block")).join(large.drop("m"), ["leader", "block"]).select("leader", "block_a", "block_b", "side", "doc", "n", "linked", "bits")
-    rows = small.unionByName(shipped).repartition("leader", "block_a", "block_b").sortWithinPartitions("leader", "block_a", "block_b")
-    found = rows.mapInArrow(tree_pairs, "a long, b long").distinct()
+    end = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("block"))
+    ends = F.when(F.col("block_a") == F.col("block_b"), F.array(end(0, "block_a"))).otherwise(F.array(end(0, "block_a"), end(1, "block_b")))
+    sides = two.select("leader", "block_a", "block_b", F.explode(ends).alias("s")).select("leader", "block_a", "block_b", "s.side", "s.block")
+    shipped = sides.join(large, ["leader", "block"]).select("leader", "block_a", "block_b", "side", "doc", "linked")
+    rows = small.unionByName(shipped).join(info, "doc").select("leader", "block_a", "block_b", "side", "doc", "n", "linked", "bits")
+    rows = rows.repartition("leader", "block_a", "block_b").sortWithinPartitions("leader", "block_a", "block_b")
+    found = rows.mapInArrow(tree_pairs, "a long, b long").where("a <> b").distinct()
     known = star_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = verify(docs, materialize(found.join(known, ["a", "b"], "left_anti"), "ngram-pairs"))
-    return told, materialize(known.unionByName(rest), "ngram-links")
+    pairs = materialize(found.join(known, ["a", "b"], "left_anti"), "ngram-pairs")
+    release(spark)
+    out = materialize(known.unionByName(verify(docs, pairs)), "ngram-links")
+    for done in (canopy, star_links, marked, placed, tops, two, pairs):
+        discard(done)
+    release(spark)
+    return told, out
 
 
 def leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
