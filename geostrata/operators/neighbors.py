@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.session import materialize
+
 XYZ = ("x", "y", "z")
 #: Sides of at most so many rows are broadcast; larger ones are bucketed by grid cell.
 SMALL = 200_000
@@ -47,9 +49,9 @@ def knn_grid(queries: DataFrame, anchors: DataFrame, k: int, rings: int = 24) ->
         pairs = pairs if last else pairs.where(F.col("d2") <= cell * cell)
         ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d2", "aid"))).where(F.col("rank") <= k)
         full = ranked.groupBy("qid").count().where(F.col("count") >= min(k, b.n)).select("qid")
-        got = ranked.join(full, "qid", "left_semi").checkpoint()
+        got = materialize(ranked.join(full, "qid", "left_semi"), "knn")
         out = got if out is None else out.unionByName(got)
-        left = left.join(got.select(F.col("qid").alias("id")).distinct(), "id", "left_anti").checkpoint()
+        left = materialize(left.join(got.select(F.col("qid").alias("id")).distinct(), "id", "left_anti"), "knn")
         if not left.limit(1).count():
             break
         cell *= 2

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -28,8 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='geostrata_')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='geostrata_')}"
+        at = _LOCAL[app]
     return at.rstrip("/")
 
 
