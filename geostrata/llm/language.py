@@ -40,7 +40,7 @@ FAMILIES = {
     "sinitic": "zh yue".split(),
 }
 FAMILY_OF = {code: f for f, codes in FAMILIES.items() for code in codes}
-DIMENSIONS, PER_LANGUAGE = 4096, 1000
+DIMENSIONS, PER_LANGUAGE = 4096, 300
 
 
 def grams(data: np.ndarray) -> np.ndarray:
