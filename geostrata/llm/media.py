@@ -6,7 +6,8 @@ hash bits are zero, in chunks of 256 to 4096 bytes, so that near copies share mo
 
 Files with the same payload are one object. The digests of all objects' chunks are joined in Spark: a
 chunk that only one object has goes to that object's pack (its private chunks, compressed together), a
-chunk that several have is stored once, in the shared part, by the object with the least digest. The
+chunk that several have is stored once, in the shared part, by the object with the least digest. A small dictionary,
+fitted on a bounded sample and stored beside the packs, serves their compression. The
 manifest of an object is its ordered list of chunks. Reading back joins shared chunks to the packs
 that list them, puts the chunks in order, verifies both digests and computes features of the samples.
 Only digests travel for copies, so a group of any size costs one object.
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import chunks, table64, utf8
-from geostrata.session import materialize
+from geostrata.session import materialize, release
 
 #: Bounds of a chunk's bytes, hash bits that are zero at a cut, size of a WAV header, payload unit.
 LEAST_CHUNK, MOST_CHUNK, CUT_BITS, HEADER, UNIT = 256, 4096, 10, 44, 64
 GEAR = (table64(256, 41) >> np.uint64(32)).astype(np.uint32)
-BATCH_BYTES = 8_000_000
+#: Compressed bytes of a batch, compression level, bytes and sampled texts of the dictionary.
+BATCH_BYTES, LEVEL, DICTIONARY_BYTES, SAMPLE = 8_000_000, 12, 32_768, 800
 
 
 def wav_header(n: int, rate: int = 8000) -> bytes:
@@ -112,18 +114,38 @@ def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(obj, pa.binary()), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "object", "n_bytes", "digests"])
 
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, object, lengths, blob: every file compressed, before deduplication."""
-    z = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        rows, size = [], 0
-        for k, _, media, lengths in stored(b.column("text")):
-            rows.append((k, hashlib.sha256(samples(media)).digest(), lengths, z.compress(media)))
-            size += len(rows[-1][3])
-            if size > BATCH_BYTES:
-                yield pack_batch(b, rows)
-                rows, size = [], 0
-        yield pack_batch(b, rows)
+def train(docs: DataFrame, n: int) -> bytes:
+    """A compression dictionary from at most SAMPLE texts chosen by hash, whole ones of 200 to 20,000 characters; empty where they are too few."""
+    some = docs.where(F.length("text").between(200, 20_000)).select("text", F.xxhash64(F.lit("media"), "text").alias("h"))
+    share = min(1.0, SAMPLE / max(1, n))
+    got = some.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["h"]).toPandas().sort_values("h").head(SAMPLE)
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [t.encode() for t in got.text]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def codec(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+
+
+def packed(dictionary: bytes):
+    """For mapInArrow: doc_id, object, lengths, blob: every file compressed, before deduplication."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, _ = codec(dictionary)
+        for b in batches:
+            rows, size = [], 0
+            for k, _, media, lengths in stored(b.column("text")):
+                rows.append((k, hashlib.sha256(samples(media)).digest(), lengths, z.compress(media)))
+                size += len(rows[-1][3])
+                if size > BATCH_BYTES:
+                    yield pack_batch(b, rows)
+                    rows, size = [], 0
+            yield pack_batch(b, rows)
+
+    return run
 
 
 def pack_batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
@@ -134,47 +156,55 @@ def pack_batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
 STORE = pa.schema([("shared", pa.bool_()), ("key", pa.binary()), ("n_chunks", pa.int32()), ("foreign", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("blob", pa.binary())])
 
 
-def stowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Store rows: one pack an object, and the shared chunks that it owns."""
-    z, unz = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    for b in batches:
-        rows, size = [], 0
-        for obj, lengths, blob, foreign, owned in zip(*(b.column(c) for c in ("object", "lengths", "blob", "foreign", "owned"))):
-            obj, lengths, foreign, owned = obj.as_py(), lengths.as_py(), foreign.as_py() or [], owned.as_py() or []
-            if not foreign:
-                rows.append((False, obj, len(lengths), [], lengths, blob.as_py()))
-            else:
-                parts = parts_of(unz.decompress(blob.as_py()), lengths)
-                out = set(foreign)
-                own = b"".join(p for k, p in enumerate(parts) if k not in out)
-                rows.append((False, obj, len(lengths), foreign, [n for k, n in enumerate(lengths) if k not in out], z.compress(own)))
-                rows += [(True, digest(parts[k]), 1, [], [lengths[k]], z.compress(parts[k])) for k in owned]
-            size += len(rows[-1][5])
-            if size > BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
-                rows, size = [], 0
-        yield pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
+def stowed(dictionary: bytes):
+    """For mapInArrow: store rows, one pack an object, and the shared chunks that it owns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, unz = codec(dictionary)
+        for b in batches:
+            rows, size = [], 0
+            for obj, lengths, blob, foreign, owned in zip(*(b.column(c) for c in ("object", "lengths", "blob", "foreign", "owned"))):
+                obj, lengths, foreign, owned = obj.as_py(), lengths.as_py(), foreign.as_py() or [], owned.as_py() or []
+                if not foreign:
+                    rows.append((False, obj, len(lengths), [], lengths, blob.as_py()))
+                else:
+                    parts = parts_of(unz.decompress(blob.as_py()), lengths)
+                    out = set(foreign)
+                    own = b"".join(p for k, p in enumerate(parts) if k not in out)
+                    rows.append((False, obj, len(lengths), foreign, [n for k, n in enumerate(lengths) if k not in out], z.compress(own)))
+                    rows += [(True, digest(parts[k]), 1, [], [lengths[k]], z.compress(parts[k])) for k in owned]
+                size += len(rows[-1][5])
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
+
+    return run
 
 
 BACK = pa.schema([("object", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("verified", pa.bool_())])
 
 
-def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Put each object's chunks in order, verify it, compute its features."""
-    unz = zstandard.ZstdDecompressor()
-    for b in batches:
-        rows = []
-        for obj, n, lengths, blob, got in zip(*(b.column(c) for c in ("key", "n_chunks", "lengths", "blob", "got"))):
-            obj, got = obj.as_py(), got.as_py() or []
-            own = unz.decompress(blob.as_py())
-            if got:
-                place = {g["seq"]: unz.decompress(g["blob"]) for g in got}
-                mine = iter(parts_of(own, lengths.as_py()))
-                own = b"".join(place[k] if k in place else next(mine) for k in range(n.as_py()))
-            payload = samples(own)
-            sha = hashlib.sha256(payload)
-            rows.append((obj, len(payload), sha.hexdigest(), zlib.crc32(payload[-UNIT:]), len(own), hashlib.sha256(own).hexdigest(), feature(payload, n.as_py()), sha.digest() == obj))
-        yield pa.RecordBatch.from_pylist([dict(zip(BACK.names, r)) for r in rows], BACK)
+def read_back(dictionary: bytes):
+    """For mapInArrow: put each object's chunks in order, verify it, compute its features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, unz = codec(dictionary)
+        for b in batches:
+            rows = []
+            for obj, n, lengths, blob, got in zip(*(b.column(c) for c in ("key", "n_chunks", "lengths", "blob", "got"))):
+                obj, got = obj.as_py(), got.as_py() or []
+                own = unz.decompress(blob.as_py())
+                if got:
+                    place = {g["seq"]: unz.decompress(g["blob"]) for g in got}
+                    mine = iter(parts_of(own, lengths.as_py()))
+                    own = b"".join(place[k] if k in place else next(mine) for k in range(n.as_py()))
+                payload = samples(own)
+                sha = hashlib.sha256(payload)
+                rows.append((obj, len(payload), sha.hexdigest(), zlib.crc32(payload[-UNIT:]), len(own), hashlib.sha256(own).hexdigest(), feature(payload, n.as_py()), sha.digest() == obj))
+            yield pa.RecordBatch.from_pylist([dict(zip(BACK.names, r)) for r in rows], BACK)
+
+    return run
 
 
 def feature(payload: bytes, n_chunks: int) -> str:
@@ -198,17 +228,22 @@ def store_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     owned = shared.where(F.col("object") == F.col("owner")).groupBy("object", "digest").agg(F.min("seq").alias("seq")).groupBy("object").agg(F.collect_list("seq").alias("owned"))
     lists = shared.groupBy("object").agg(F.collect_list("seq").alias("foreign")).join(owned, "object", "left")
     marks = objects.select("object", "doc_id").join(lists, "object", "left")
-    files = base.mapInArrow(packed, f"doc_id {kind}, object binary, lengths array<int>, blob binary")
+    dictionary = train(base, listed.count())
+    saved = materialize(docs.sparkSession.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "media-dictionary")
+    files = base.mapInArrow(packed(dictionary), f"doc_id {kind}, object binary, lengths array<int>, blob binary")
     marked = files.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(marks.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).drop("doc_id"), ["d", "object"])
-    rows = marked.select("object", "lengths", "blob", "foreign", "owned").mapInArrow(stowed, "shared boolean, key binary, n_chunks int, foreign array<int>, lengths array<int>, blob binary")
+    rows = marked.select("object", "lengths", "blob", "foreign", "owned").mapInArrow(stowed(dictionary), "shared boolean, key binary, n_chunks int, foreign array<int>, lengths array<int>, blob binary")
+    release(docs.sparkSession)
     store = materialize(rows, "media-store", ("shared",))
+    release(docs.sparkSession)
 
+    reading = read_back(bytes(saved.first()[0]))  # what a reader of the store finds beside it
     packs, common = store.where(~F.col("shared")), store.where(F.col("shared")).select(F.col("key").alias("digest"), "blob").dropDuplicates(["digest"])
     none = F.lit(None).cast("array<struct<seq:int,blob:binary>>")
     whole = packs.where(F.size("foreign") == 0).select("key", "n_chunks", "lengths", "blob", none.alias("got"))
     brought = shared.join(common, "digest").groupBy("object").agg(F.collect_list(F.struct("seq", "blob")).alias("got"))
     mixed = packs.where(F.size("foreign") > 0).join(brought.withColumnRenamed("object", "key"), "key").select("key", "n_chunks", "lengths", "blob", "got")
     back = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, verified boolean"
-    read = whole.mapInArrow(read_back, back).unionByName(mixed.mapInArrow(read_back, back)).dropDuplicates(["object"])
+    read = whole.mapInArrow(reading, back).unionByName(mixed.mapInArrow(reading, back)).dropDuplicates(["object"])
     read = materialize(read, "media-read")
     return listed.select("doc_id", "object", "n_bytes").join(read, "object").drop("object")
