@@ -287,9 +287,13 @@ def root_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["leader", "block_a", "block_b"]).take(pa.array(keep, pa.int64()))
 
 
+GROUP = ["leader", "block_a", "block_b"]
+GROUP_KINDS = "leader long, block_a long, block_b long"
+
+
 def tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of documents that may link, from rows of one or two blocks of a canopy."""
-    for t in grouped(batches, ["leader", "block_a", "block_b"]):
+    for t in grouped(batches, GROUP):
         side, who, n, linked, bits = (t.column(c).to_numpy(zero_copy_only=False) for c in ("side", "doc", "n", "linked", "bits"))
         pick = lambda use: forest([bits[k] for k in use], n[use], linked[use].astype(bool), who[use])
         if t.column("block_a")[0] == t.column("block_b")[0]:
@@ -300,7 +304,24 @@ def tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             a, b = join_forests(pick(np.flatnonzero(side == 0)), pick(np.flatnonzero(side == 1)), False)
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            keys = [pa.array(np.full(len(a), t.column(k)[0].as_py(), np.int64)) for k in GROUP]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], [*GROUP, "a", "b"])
+
+
+def verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that link, from rows of a group: sets of its documents (b null), then its pairs."""
+    for t in grouped(batches, GROUP):
+        sets, found = {}, []
+        for a, b, s in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("set")):
+            if b is None:
+                sets[a] = np.frombuffer(s.as_buffer(), np.uint64)
+            elif a in sets and b in sets:
+                x, y = sets[a], sets[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if DEN * both >= NUM * (len(x) + len(y) - both):
+                    found.append((a, b))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def bit_filter(spark: SparkSession, ids: DataFrame) -> np.ndarray:
@@ -327,6 +348,17 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return full.select(*pairs.columns, "set_a", "set_b").mapInArrow(verified, kinds)
 
 
+def verify_groups(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (group, a, b) that link: the set of a document travels once to each group that it has pairs in."""
+    members = pairs.select(*GROUP, F.explode(F.array("a", "b")).alias("doc")).distinct()
+    words = bit_filter(docs.sparkSession, members.select(id_bit(F.col("doc"))).distinct())
+    sets = docs.select("doc_id", "text", id_bit(F.col("doc_id"))).mapInArrow(wanted_sets(words), "doc_id long, set binary")
+    sets = members.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select(*GROUP, F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = sets.unionByName(pairs.select(*GROUP, "a", "b", F.lit(None).cast("binary").alias("set")))
+    rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, F.col("b").asc_nulls_first())
+    return rows.mapInArrow(verified_groups, "a long, b long")
+
+
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(described documents, shared prefix shingles of representatives)."""
     heavy = materialize(docs.select("text").mapInArrow(repeats, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")), "ngram-repeats")
@@ -400,11 +432,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shipped = sides.join(large, ["leader", "block"]).select("leader", "block_a", "block_b", "side", "doc", "linked")
     rows = small.unionByName(shipped).join(info, "doc").select("leader", "block_a", "block_b", "side", "doc", "n", "linked", "bits")
     rows = rows.repartition("leader", "block_a", "block_b").sortWithinPartitions("leader", "block_a", "block_b")
-    found = rows.mapInArrow(tree_pairs, "a long, b long").where("a <> b").distinct()
+    found = rows.mapInArrow(tree_pairs, GROUP_KINDS + ", a long, b long").where("a <> b").groupBy("a", "b").agg(F.min(F.struct(*GROUP)).alias("g")).select("g.*", "a", "b")
     known = star_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(found.join(known, ["a", "b"], "left_anti"), "ngram-pairs")
     release(spark)
-    out = materialize(known.unionByName(verify(docs, pairs)), "ngram-links")
+    out = materialize(known.unionByName(verify_groups(docs, pairs)), "ngram-links")
     for done in (canopy, star_links, marked, placed, tops, two, pairs):
         discard(done)
     release(spark)
