@@ -47,7 +47,7 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     budget: as a share of all sizes. Sources without words get 0.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    order = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
+    order = Window.orderBy(F.try_divide(F.col("cap"), F.col("weight")), F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     level = (
@@ -55,10 +55,10 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
         .withColumn("budget", F.least(F.sum("source_size").over(everything) * F.lit(float(budget)), F.sum("cap").over(everything)))
         .withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("budget") - F.col("full")) / F.col("open"))
+        .withColumn("level", F.try_divide(F.col("budget") - F.col("full"), F.col("open")))
     )
-    # the first source that the level doesn't fill sets it for all
-    level = level.withColumn("water", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+    # the first source that its level does not fill sets the level for all; later rows have lower ones
+    level = level.withColumn("water", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     target = F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("water") * F.col("weight")))
     return level.withColumn("target", target).select("source", "source_key", F.col("source_size").cast("long").alias("source_size"), "weight", "target")
 
@@ -103,7 +103,7 @@ def mix(
     by_b1 = sized.groupBy("source", "source_key", "b1").agg(F.sum("size").alias("words"))
     sources = by_b1.groupBy("source", "source_key").agg(F.sum("words").alias("source_size"))
     plan = water_fill(cycle_weights(sources, weights), budget, max_epochs)
-    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    epochs = F.when(F.col("source_size") > 0, F.try_divide(F.col("target"), F.col("source_size"))).otherwise(F.lit(0.0))
     plan = plan.withColumn("whole", F.floor(epochs)).withColumn("wanted", F.col("target") - F.floor(epochs) * F.col("source_size"))
     plan = materialize(plan, "mix-plan")
     small = F.broadcast if plan.count() <= MAX_BROADCAST_SOURCES else lambda df: df
@@ -121,7 +121,7 @@ def mix(
         .when(F.col("b1") > F.col("cut1"), 0)
         .when(F.col("b2") < F.col("cut2"), F.col("size"))
         .when(F.col("b2") > F.col("cut2"), 0)
-        .otherwise(F.floor(F.col("size") * F.col("left2") / F.col("last_words")))
+        .otherwise(F.floor(F.try_divide(F.col("size") * F.col("left2"), F.col("last_words"))))
     )
     out = sized.join(small(plan), "source_key")
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("whole") + extra).cast("long").alias("taken"))
@@ -144,7 +144,7 @@ def mix_sql(documents: str = "documents", weights: tuple[float, ...] = (5.0, 2.0
              sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unfilled
            FROM c WINDOW o AS (ORDER BY cap / weight, source ASC NULLS LAST)),
     l1 AS (SELECT *, (budget - filled) / unfilled AS lvl FROM l0),
-    l2 AS (SELECT *, min(CASE WHEN lvl * weight <= cap THEN lvl END) OVER () AS water FROM l1),
+    l2 AS (SELECT *, max(CASE WHEN lvl * weight <= cap THEN lvl END) OVER () AS water FROM l1),
     tg AS (SELECT *, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target FROM l2),
     p AS (SELECT source, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole FROM tg),
     p2 AS (SELECT *, target - whole * source_size AS wanted FROM p),
