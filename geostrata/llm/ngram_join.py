@@ -287,8 +287,23 @@ def root_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["leader", "block_a", "block_b"]).take(pa.array(keep, pa.int64()))
 
 
+def block_pairs(tops: DataFrame) -> DataFrame:
+    """Pairs of a leader's blocks that may hold a link which isn't known. Bitmaps meet at the narrower width, so only what shares a bit at that width counts."""
+    x, y = tops.alias("x"), tops.alias("y")
+    near = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.block") <= F.col("y.block")) & ~(F.col("x.linked") & F.col("y.linked"))
+    near &= (DEN * F.col("x.hi") >= NUM * F.col("y.lo")) & (DEN * F.col("y.hi") >= NUM * F.col("x.lo"))
+    wide_x, wide_y = F.length("x.bits"), F.length("y.bits")
+    shared = F.when(wide_x < wide_y, F.col("x.shared")).when(wide_x > wide_y, F.col("y.shared")).otherwise(F.least("x.shared", "y.shared"))
+    two = x.join(y, near).select(
+        F.col("x.leader").alias("leader"), F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b"), F.col("x.bits").alias("bits_a"), F.col("y.bits").alias("bits_b"),
+        (F.col("x.lo") + F.col("y.lo")).alias("need"), shared.alias("shared"),
+    )
+    return two.mapInArrow(root_pairs, GROUP_KINDS)
+
+
 GROUP = ["leader", "block_a", "block_b"]
 GROUP_KINDS = "leader long, block_a long, block_b long"
+ROOT_KINDS = "leader long, block long, lo long, hi long, shared long, linked boolean, bits binary"
 
 
 def tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,16 +431,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small = placed.where(f"m <= {BLOCK}").select("leader", *zero, F.lit(0).alias("side"), "doc", "linked")
 
     large = placed.where(f"m > {BLOCK}").select("leader", "block", "doc", "linked")
-    tops = large.join(info, "doc").repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(roots, "leader long, block long, lo long, hi long, shared long, linked boolean, bits binary")
+    tops = large.join(info, "doc").repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(roots, ROOT_KINDS)
     tops = materialize(tops, "ngram-roots")
-    x, y = tops.alias("x"), tops.alias("y")
-    near = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.block") <= F.col("y.block")) & ~(F.col("x.linked") & F.col("y.linked"))
-    near &= (DEN * F.col("x.hi") >= NUM * F.col("y.lo")) & (DEN * F.col("y.hi") >= NUM * F.col("x.lo"))
-    two = x.join(y, near).select(
-        F.col("x.leader").alias("leader"), F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b"), F.col("x.bits").alias("bits_a"), F.col("y.bits").alias("bits_b"),
-        (F.col("x.lo") + F.col("y.lo")).alias("need"), F.least("x.shared", "y.shared").alias("shared"),
-    )
-    two = materialize(two.mapInArrow(root_pairs, "leader long, block_a long, block_b long"), "ngram-root-pairs")
+    two = materialize(block_pairs(tops), "ngram-root-pairs")
     end = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("block"))
     ends = F.when(F.col("block_a") == F.col("block_b"), F.array(end(0, "block_a"))).otherwise(F.array(end(0, "block_a"), end(1, "block_b")))
     sides = two.select("leader", "block_a", "block_b", F.explode(ends).alias("s")).select("leader", "block_a", "block_b", "s.side", "s.block")

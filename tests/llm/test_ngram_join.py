@@ -84,5 +84,23 @@ def test_trees_lose_nothing():
     assert {(j, i) for i, j in want} <= got and len(got) < 0.5 * len(sets) ** 2 / 2
 
 
+def test_blocks_across_a_width_step(spark):
+    """One pair that just links per leader, in two blocks of one or two documents whose bitmaps differ in width."""
+    r = np.random.default_rng(8)
+    draw = lambda k: r.integers(0, 2**63, k).astype(np.uint64)
+    rows = []
+    for leader in range(400):
+        both = draw(228)
+        sets = [(1, np.r_[both, draw(22)]), (2, np.r_[both, draw(34)])]
+        if leader % 2:
+            sets += [(1, draw(250)), (2, draw(262))]
+        assert len(both) * 100 >= 80 * (250 + 262 - len(both)) and len(nj.bitmap(sets[0][1])) < len(nj.bitmap(sets[1][1]))
+        rows += [(leader, block, len(s), False, nj.bitmap(s).tobytes()) for block, s in sets]
+    df = spark.createDataFrame(rows, "leader long, block long, n long, linked boolean, bits binary")
+    tops = df.repartition(4, "leader").sortWithinPartitions("leader", "block").mapInArrow(nj.roots, nj.ROOT_KINDS)
+    got = {r.leader for r in nj.block_pairs(tops).where("block_a = 1 and block_b = 2").collect()}
+    assert got == set(range(400))
+
+
 def test_empty(spark):
     assert nj.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
