@@ -12,13 +12,19 @@ from geostrata.operators import terrain
 from geostrata.plans.registry import query
 
 PTS, GRID = fx.PTS_SQL, fx.GRID_SQL
-N = 100  # cells along each side of the grid at the parity scale
+N = 100  # cells along each side of the grid in the SQL twins
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def extent(spark, d) -> tuple[int, int]:
+    """Rows and columns of the point grid: up to its own last ones, and no fewer than the twins' N."""
+    last = fx.pts(spark, d).agg(F.max(F.floor(F.col("y") / fx.DY)), F.max(F.floor(F.col("x") / fx.DX))).first()
+    return tuple(N if k is None else max(N, k + 1) for k in last)
+
+
 @query(f'WITH {GRID} SELECT "row", col, v FROM grid')
 def dsm_grid_max(spark, d):
     return fx.grid(spark, d)
@@ -74,7 +80,8 @@ SELECT f."row", f.col, coalesce(g.v, t.g) AS v FROM full_ f LEFT JOIN (SELECT "r
 def dsm_hole_fill(spark, d):
     g = fx.grid(spark, d)
     ground = g.groupBy(F.floor(F.col("row") / 10).alias("gr"), F.floor(F.col("col") / 10).alias("gc")).agg(F.min("v").alias("g"))
-    full = spark.range(N * N).select((F.col("id") / N).cast("long").alias("row"), (F.col("id") % N).alias("col"))
+    rows, cols = extent(spark, d)
+    full = spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col"))
     dtm = full.withColumns({"gr": F.floor(F.col("row") / 10), "gc": F.floor(F.col("col") / 10)}).join(ground, ["gr", "gc"]).select("row", "col", F.col("g").alias("v"))
     return rs.fill_from(g.where("v < 60"), dtm)
 
@@ -95,7 +102,7 @@ def square_sql(src: str, out: str, f: str, radius: int) -> str:
 @query(f"""WITH {GRID}, o AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)), asks AS (SELECT "row", col, least(greatest("row" + a, 0), {N - 1}) AS r2, least(greatest(col + b, 0), {N - 1}) AS c2 FROM grid, o)
 SELECT k."row", k.col, round(avg(g.v), 9) AS v FROM asks k JOIN grid g ON g."row" = r2 AND g.col = c2 GROUP BY 1, 2""")
 def box_filter3(spark, d):
-    return rounded(rs.box_mean3(fx.grid(spark, d), N, N), "v", digits=9)
+    return rounded(rs.box_mean3(fx.grid(spark, d), *extent(spark, d)), "v", digits=9)
 
 
 @query(f"WITH {GRID} {near_sql(SQUARE1, 'max(n.v) AS v')}")
@@ -134,7 +141,7 @@ def grey_open_close_disk(spark, d):
 @query(f"""WITH {GRID}, small AS (SELECT "row" // 2 AS r, col // 2 AS c, v FROM grid WHERE "row" % 2 = 0 AND col % 2 = 0)
 SELECT r * 2 + a AS "row", c * 2 + b AS col, v FROM small, range(0, 2) x(a), range(0, 2) y(b) WHERE r * 2 + a < {N} AND c * 2 + b < {N}""")
 def pyramid_down_up(spark, d):
-    return rs.up2(rs.down2(fx.grid(spark, d)), N, N)
+    return rs.up2(rs.down2(fx.grid(spark, d)), *extent(spark, d))
 
 
 @query(f"""WITH {GRID}, t AS (SELECT "row", col, CASE WHEN v > 90 THEN floor(v) ELSE 0 END AS v FROM grid), {square_sql("t", "m", "max", 2)}
@@ -148,7 +155,7 @@ def texture_dilate(spark, d):
 SELECT h."row", h.col, round(sum(g.v / sqrt((g."row" - h."row") ** 2 + (g.col - h.col) ** 2)) / sum(1 / sqrt((g."row" - h."row") ** 2 + (g.col - h.col) ** 2)), 6) AS v
 FROM hole h JOIN grid g ON g."row" BETWEEN h."row" - 3 AND h."row" + 3 AND g.col BETWEEN h.col - 3 AND h.col + 3 GROUP BY 1, 2""")
 def fill_holes_idw(spark, d):
-    return rounded(rs.fill_holes(fx.grid(spark, d), N, N, 3), "v")
+    return rounded(rs.fill_holes(fx.grid(spark, d), *extent(spark, d), 3), "v")
 
 
 COMP = f"""RECURSIVE {GRID}, cell AS (SELECT "row", col, "row" * {N} + col AS id FROM grid WHERE v > 100),
@@ -158,7 +165,7 @@ lab AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY a), labelled AS (SEL
 
 
 def labelled(spark, d):
-    return rs.labels4(fx.grid(spark, d).where("v > 100"), N)
+    return rs.labels4(fx.grid(spark, d).where("v > 100"), extent(spark, d)[1])
 
 
 @query(f'WITH {COMP} SELECT "row", col, label FROM labelled')
@@ -199,8 +206,9 @@ def tile_coords(spark, d):
 @query(f"""WITH {GRID}, seq AS (SELECT "row" * {N} + col AS i, CASE WHEN v > 80 THEN 1 ELSE 0 END AS v FROM grid), f AS (SELECT i, v, CASE WHEN v = lag(v) OVER (ORDER BY i) AND i = lag(i) OVER (ORDER BY i) + 1 THEN 0 ELSE 1 END AS new FROM seq),
 g AS (SELECT i, v, sum(new) OVER (ORDER BY i) AS run FROM f) SELECT min(i) AS start, count(*) AS length, v AS value FROM g GROUP BY run, v""")
 def rle_encode(spark, d):
-    seq = fx.grid(spark, d).select((F.col("row") * N + F.col("col")).alias("i"), (F.col("v") > 80).cast("int").alias("v"))
-    return sg.rle_encode(seq, N * 10)
+    cols = extent(spark, d)[1]
+    seq = fx.grid(spark, d).select((F.col("row") * cols + F.col("col")).alias("i"), (F.col("v") > 80).cast("int").alias("v"))
+    return sg.rle_encode(seq, cols * 10)
 
 
 @query(f'WITH {GRID} SELECT "row" * {N} + col AS i, CASE WHEN v > 80 THEN 1 ELSE 0 END AS v FROM grid')
@@ -233,9 +241,9 @@ def grid_mesh(spark, d):
 
 @query()
 def cloth_dtm(spark, d):
-    return terrain.fit(fx.grid(spark, d), N, N)
+    return terrain.fit(fx.grid(spark, d), *extent(spark, d))
 
 
 @query()
 def watershed_objects(spark, d):
-    return sg.watershed(fx.grid(spark, d).select("row", "col", (F.col("v") > 104).alias("marker"), (F.col("v") > 95).alias("mask")), N)
+    return sg.watershed(fx.grid(spark, d).select("row", "col", (F.col("v") > 104).alias("marker"), (F.col("v") > 95).alias("mask")), extent(spark, d)[1])
