@@ -374,8 +374,8 @@ def fold_assign(spark, d):
 RING = "ring AS (SELECT c_nationkey AS id, list(struct_pack(x := (c_custkey % 97)::DOUBLE, y := c_acctbal / 100) ORDER BY c_custkey) AS r FROM customer WHERE c_custkey < 300 GROUP BY 1 HAVING count(*) >= 3)"
 
 
-def rings(spark, d) -> DataFrame:
-    k = table(spark, d, "customer").where("c_custkey < 300")
+def rings(spark, d, of: str = "c_custkey < 300") -> DataFrame:
+    k = table(spark, d, "customer").where(of)
     p = F.sort_array(F.collect_list(F.struct("c_custkey", (c("c_custkey") % 97).cast("double").alias("x"), (c("c_acctbal") / 100).alias("y"))))
     r = k.groupBy(c("c_nationkey").alias("id")).agg(p.alias("p")).where(F.size("p") >= 3)
     return r.select("id", F.transform("p", lambda q: F.struct(q.x.alias("x"), q.y.alias("y"))).alias("r"))
@@ -445,7 +445,7 @@ def shared_vertex_components(spark, d):
 
 @query()
 def min_area_rectangles(spark, d):
-    return fitting.min_area_rectangles(rings(spark, d))
+    return fitting.min_area_rectangles(rings(spark, d, of="true"))
 
 
 @query()
