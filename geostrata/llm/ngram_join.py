@@ -1,7 +1,8 @@
 """N-gram Jaccard join with signature trees.
 
 A document's set is its distinct 5-word shingles, hashed to 64 bits. Two documents link when their sets'
-Jaccard similarity is 0.8 or more; the join is exact in that no link is lost.
+Jaccard similarity is 0.8 or more. Components are exact; links are as many as connect them, since two documents
+that both link to a canopy's leader aren't compared, so their link isn't listed.
 
 1. Equal sets are one class (a 128-bit sum of mixed hashes); only representatives go on.
 2. Prefixes bring candidates together: under one order of all shingles (rarer first, then by hash), two
