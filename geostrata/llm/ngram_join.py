@@ -1,32 +1,35 @@
 """N-gram Jaccard join with signature trees.
 
 A document's set is its distinct 5-word shingles, hashed to 64 bits. Two documents link when their sets'
-Jaccard similarity is 0.8 or more. Components are exact; links are as many as connect them, since two documents
-that both link to a canopy's leader aren't compared, so their link isn't listed.
+Jaccard similarity is 0.8 or more. Components are exact; links are as many as connect them, since two
+documents that a canopy has connected already aren't compared again.
 
-1. Equal sets are one class (a 128-bit sum of mixed hashes); only representatives go on.
+1. Equal sets are one node, named by a 64-bit sum of mixed shingle hashes; copies cost no more than that.
 2. Prefixes bring candidates together: under one order of all shingles (rarer first, then by hash), two
-   sets that link share one of the first n - ceil(0.8 n) + 1 shingles of each. Frequencies are counted
-   over all documents, by texts' repeats within blocks; any order is exact, so that count needn't be.
-3. Every shared prefix shingle names as its leader the most central document that has it. A leader and
-   all documents it leads are a canopy; two documents that link are in some canopy together. Canopies
-   are as many rows as (document, leader) pairs, not pairs of documents.
-4. Signature trees find the pairs. A leaf has a bitmap of its set's shingles, four bits a shingle; a
-   node has the OR of its children's bitmaps and the range of their sizes. First every document goes
-   against its leader, and survivors are verified on the sets. Then the trees of a canopy's blocks are
-   traversed in pairs: a pair of nodes is dropped when its sizes can't reach 0.8, when all documents
-   under both are linked to the leader already, or when the bits that both have, with the most
-   shingles that share a bit, are fewer than the least overlap that the sizes need. Surviving leaf
-   pairs are verified on the sets.
-5. Links make components.
-
-A canopy of any size is cut in blocks of about 256 documents of like size; pairs of its blocks are
-pruned by their roots before any leaf is shipped, and blocks that are linked to the leader as a whole
-are never paired. So a group of m near copies costs m verified links, not m squared.
+   sets that link share one of the first n - ceil(0.8 n) + 1 shingles of each. Frequencies come from a
+   sketch of counts over all shingles of all documents, as wide as the corpus asks for (at most 2^24
+   counters); any order is exact, so collisions cost candidates and never links.
+3. Every prefix shingle that several nodes have names the least of them as its leader. A leader and all
+   nodes it leads are a canopy; two documents that link are in some canopy together. Canopies are as
+   many rows as (node, leader) pairs, not pairs of documents.
+4. A canopy is cut in blocks of about 256 nodes of like size (fewer where sets are long), and its leader
+   joins each block. A block's nodes become a signature tree: a leaf has a bitmap of its set's shingles,
+   four bits a shingle; a node of the tree has the OR of its children's bitmaps and the range of their
+   sizes. The tree is traversed against itself: a pair of tree nodes is dropped when its sizes can't reach
+   0.8, or when the bits that both have, with the most shingles that share a bit, are fewer than the least
+   overlap that the sizes need. Only sets of surviving leaves travel. Their pairs are verified on the sets,
+   those with the leader first, and pairs that are connected by then are left out.
+5. Where a canopy has several blocks and nodes that aren't connected to its leader, its blocks meet in
+   pairs: pairs are pruned by the OR of each block, then both trees are traversed against each other, and
+   tree nodes that are connected to the leader as a whole are never paired. So a group of m near copies
+   costs m verified links, not m squared.
+6. Links make components.
 
 Nulls and texts without words: an empty set, linked with nothing. Fewer than five words: one shingle,
-the whole sequence. Repeated rows each give a row; rows of one id count as one node. An empty table
-gives none.
+the whole sequence. Very long texts: sets of any length; a block holds fewer of them. Repeated rows each
+give a row. Rows of one id are one document, whatever their texts: what any of them reaches, all reach.
+A row whose id is null takes part by its text; its component_id is the least id reachable, null if there
+is none. Other columns, whatever their names, aren't read. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,17 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import Words, chunks, mix64, table64, utf8
 from geostrata.operators.components import connected_components
-from geostrata.session import discard, materialize, release
+from geostrata.session import discard, materialize
 
 N, NUM, DEN = 5, 80, 100
 FANOUT, BLOCK, PAIR_BYTES = 8, 256, 8_000_000
-MOST_HEAVY, LEAST_HEAVY = 1 << 20, 32
-FILTER_BITS = 1 << 23
+#: Shingles of a block's sets at most (unless one pair has more), counters of a segment of the sketch.
+BLOCK_SHINGLES, SEGMENT = 4_000_000, 1 << 16
 PLACE = table64(N, 77)
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -77,15 +81,46 @@ def all_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield lo, shingle_sets(part, o)
 
 
-def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, texts) of shingles that several texts of a block have; total in the row of shingle null."""
-    for b in batches:
-        for _, sets in all_sets(b.column("text")):
-            u, c = np.unique(np.concatenate(sets), return_counts=True)
-            many = c > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *u[many].view(np.int64).tolist()], pa.int64()), pa.array([int(c.sum()), *c[many].tolist()], pa.int64())], ["shingle", "texts"]
-            )
+def sketch_bits(characters: int) -> int:
+    """Bits of the number of counters: about eight shingles a counter, within 2^16 to 2^24 counters."""
+    return min(24, max(16, int(characters // 48).bit_length()))
+
+
+def sketched(bits: int):
+    """For mapInArrow: counts of a partition's shingles by their leading bits, as compressed segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        for b in batches:
+            for _, sets in all_sets(b.column("text")):
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        z, segments = zstandard.ZstdCompressor(level=1), total.reshape(-1, SEGMENT)
+        for k in np.flatnonzero(segments.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([z.compress(segments[k].tobytes())], pa.binary())], ["segment", "counts"])
+
+    return run
+
+
+def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of segments, from rows sorted by segment, as weights of one byte: eight steps for each doubling."""
+    z, unz = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    for t in grouped(batches, ["segment"]):
+        total = np.zeros(SEGMENT, np.int64)
+        for c in t.column("counts"):
+            total += np.frombuffer(unz.decompress(c.as_py()), np.uint32)
+        weight = np.minimum(255, np.rint(8 * np.log2(total + 1.0))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([t.column("segment")[:1].combine_chunks(), pa.array([z.compress(weight.tobytes())], pa.binary())], ["segment", "counts"])
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """Weights of shingles by their leading bits; 16 MB at most, whatever the input."""
+    bits = sketch_bits(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    parts = docs.select("text").mapInArrow(sketched(bits), "segment int, counts binary")
+    rows = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(weighed, "segment int, counts binary")
+    out, unz = np.zeros((1 << bits) // SEGMENT * SEGMENT, np.uint8), zstandard.ZstdDecompressor()
+    for r in rows.toLocalIterator():
+        out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(unz.decompress(bytes(r.counts)), np.uint8)
+    return out
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -96,61 +131,51 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def describe(heavy: np.ndarray, weight: np.ndarray):
-    """For mapInArrow: id, n, class key, prefix and bitmap of each text. heavy: sorted frequent shingles."""
+def name_of(s: np.ndarray) -> int:
+    """The node of a set."""
+    return int((mix64(s ^ ONE) + mix64(s * TWO + ONE)).sum().view(np.int64)) if len(s) else 0
+
+
+def describe(weights):
+    """For mapInArrow: id, n, node, prefix and bitmap of each text. weights: broadcast frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = weights.value
+        shift = np.uint64(64 - (len(weight) - 1).bit_length())
         for b in batches:
             for lo, sets in all_sets(b.column("text")):
-                k1, k2, prefix, bits = [], [], [], []
+                prefix = []
                 for s in sets:
-                    k1.append(int(mix64(s ^ ONE).sum().view(np.int64)) if len(s) else 0)
-                    k2.append(int(mix64(s * TWO + ONE).sum().view(np.int64)) if len(s) else 0)
                     n = len(s)
                     p = n - -(-NUM * n // DEN) + 1 if n else 0
-                    if len(heavy) and n:
-                        at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                        common = np.where(heavy[at] == s, weight[at], 0)
-                        first = np.argsort(common, kind="stable")[:p]
-                        prefix.append(s[first].view(np.int64))
-                    else:
-                        prefix.append(s[:p].view(np.int64))
-                    bits.append(bitmap(s).tobytes() if n else b"")
+                    prefix.append(s[np.argsort(weight[(s >> shift).astype(np.int64)], kind="stable")[:p]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["doc_id", "n", "k1", "k2", "prefix", "bits"],
-                )
+                    [
+                        b.column("doc_id").slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()),
+                        pa.array(prefix, pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                    ],
+                    ["doc_id", "n", "node", "prefix", "bits"],
+                )
 
     return run
 
 
-def wanted_sets(words: np.ndarray):
-    """For mapInArrow: (doc_id, set) of the texts that a bit filter over ids lets through."""
+def wanted_sets(words):
+    """For mapInArrow: (node, set) of the texts that a broadcast bit filter over ids lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = words.value
         for b in batches:
-            h = b.column("h").to_numpy()
-            use = np.flatnonzero((words[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
+            h = b.column("h").to_numpy() & (64 * len(w) - 1)
+            use = np.flatnonzero((w[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
             if len(use):
                 b = b.take(pa.array(use))
-                for lo, sets in all_sets(b.column("text")):
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
+                for _, sets in all_sets(b.column("text")):
+                    yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
 
     return run
 
 
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, more columns) whose sets reach the similarity."""
-    for b in batches:
-        keep = []
-        for k, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if DEN * both >= NUM * (len(x) + len(y) - both):
-                keep.append(k)
-        yield b.drop_columns(["set_a", "set_b"]).take(pa.array(keep, pa.int64()))
-
-
 def folded(bits: np.ndarray, width: int) -> np.ndarray:
     """Bitmaps (rows of bytes) at a smaller width."""
     while bits.shape[1] > width:
@@ -291,7 +316,7 @@ def root_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_pairs(tops: DataFrame) -> DataFrame:
     """Pairs of a leader's blocks that may hold a link which isn't known. Bitmaps meet at the narrower width, so only what shares a bit at that width counts."""
     x, y = tops.alias("x"), tops.alias("y")
-    near = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.block") <= F.col("y.block")) & ~(F.col("x.linked") & F.col("y.linked"))
+    near = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.block") < F.col("y.block")) & ~(F.col("x.linked") & F.col("y.linked"))
     near &= (DEN * F.col("x.hi") >= NUM * F.col("y.lo")) & (DEN * F.col("y.hi") >= NUM * F.col("x.lo"))
     wide_x, wide_y = F.length("x.bits"), F.length("y.bits")
     shared = F.when(wide_x < wide_y, F.col("x.shared")).when(wide_x > wide_y, F.col("y.shared")).otherwise(F.least("x.shared", "y.shared"))
@@ -307,170 +332,143 @@ GROUP_KINDS = "leader long, block_a long, block_b long"
 ROOT_KINDS = "leader long, block long, lo long, hi long, shared long, linked boolean, bits binary"
 
 
-def tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of documents that may link, from rows of one or two blocks of a canopy."""
-    for t in grouped(batches, GROUP):
-        side, who, n, linked, bits = (t.column(c).to_numpy(zero_copy_only=False) for c in ("side", "doc", "n", "linked", "bits"))
-        pick = lambda use: forest([bits[k] for k in use], n[use], linked[use].astype(bool), who[use])
-        if t.column("block_a")[0] == t.column("block_b")[0]:
-            if len(who) < 2:
-                continue
-            f = pick(np.arange(len(who)))
-            a, b = join_forests(f, f, True)
-        else:
-            a, b = join_forests(pick(np.flatnonzero(side == 0)), pick(np.flatnonzero(side == 1)), False)
-        if len(a):
-            keys = [pa.array(np.full(len(a), t.column(k)[0].as_py(), np.int64)) for k in GROUP]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], [*GROUP, "a", "b"])
+def leaf_pairs(side: np.ndarray, who: np.ndarray, n: np.ndarray, linked: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may link, of the nodes of one block (side 0) or of one block with another's (sides 0 and 1)."""
+    pick = lambda use: forest([bits[k] for k in use], n[use], linked[use], who[use])
+    if side.any():
+        return join_forests(pick(np.flatnonzero(side == 0)), pick(np.flatnonzero(side == 1)), False)
+    f = pick(np.arange(len(who)))
+    return join_forests(f, f, True)
 
 
-def verified_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link, from rows of a group: sets of its documents (b null), then its pairs."""
+def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group's rows (side, node, n, linked, bits) those that are in a pair of leaves which may link."""
     for t in grouped(batches, GROUP):
-        sets, found = {}, []
-        for a, b, s in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("set")):
-            if b is None:
-                sets[a] = np.frombuffer(s.as_buffer(), np.uint64)
-            elif a in sets and b in sets:
-                x, y = sets[a], sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if DEN * both >= NUM * (len(x) + len(y) - both):
-                    found.append((a, b))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        side, who, n, linked = (column(t, c) for c in ("side", "node", "n", "linked"))
+        if len(who) > 1:
+            a, b = leaf_pairs(side, who, n, linked, t.column("bits").to_pylist())
+            t = t.filter(pa.array(np.isin(who, np.concatenate([a, b])))).select([*GROUP, "side", "node", "linked"])
+            yield from t.to_batches()
+
 
+def find(root: dict[int, int], k: int) -> int:
+    while root[k] != k:
+        root[k] = root[root[k]]
+        k = root[k]
+    return k
 
-def bit_filter(spark: SparkSession, ids: DataFrame) -> np.ndarray:
-    """A filter of 2^23 bits over ids (column h); its size doesn't grow with them."""
-    words = ids.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
-    for w, bits in words:
-        out[w] = bits
+
+def linked_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (leader, root, node) that connect each group, from its rows (side, node, linked, set); the leader is the root where it can be."""
+    for t in grouped(batches, GROUP):
+        side, who, linked = (column(t, c) for c in ("side", "node", "linked"))
+        leader = t.column("leader")[0].as_py()
+        sets = {w: np.frombuffer(s.as_buffer(), np.uint64) for w, s in zip(who.tolist(), t.column("set"))}
+        a, b = leaf_pairs(side, who, np.array([len(sets[w]) for w in who.tolist()]), linked, [bitmap(sets[w]).tobytes() for w in who.tolist()])
+        root = {w: leader if li else w for w, li in zip(who.tolist(), linked.tolist())} | {leader: leader}
+        # the leader's pairs first: they settle most others
+        order = np.argsort((a != leader) & (b != leader), kind="stable")
+        found = set()
+        for x, y in zip(a[order].tolist(), b[order].tolist()):
+            p, q = find(root, x), find(root, y)
+            if p != q:
+                u, v = sets[x], sets[y]
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if DEN * both >= NUM * (len(u) + len(v) - both):
+                    root[p if q == leader else q] = q if q == leader else p
+                    found |= {x, y, p, q}
+        if found:
+            nodes = sorted(found)
+            tops = [find(root, k) for k in nodes]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ([leader] * len(nodes), tops, nodes)], ["leader", "root", "node"])
+
+
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A filter over hashes (column h): about 16 bits each, within 2^16 to 2^28 bits (32 MB). More that pass cost time only."""
+    bits = min(28, max(16, (16 * ids.count()).bit_length()))
+    h = F.col("h").bitwiseAND((1 << bits) - 1)
+    words = ids.groupBy(F.shiftright(h, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for w, v in words.toLocalIterator():
+        out[w] = v
     return out.view(np.uint64)
 
 
-def id_bit(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS)).alias("h")
-
-
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their exact sets: the sets travel to the pairs' first ends, then to their second."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    full = pairs
-    for end in ("a", "b"):
-        words = bit_filter(docs.sparkSession, pairs.select(id_bit(F.col(end))).distinct())
-        sets = docs.select("doc_id", "text", id_bit(F.col("doc_id"))).mapInArrow(wanted_sets(words), "doc_id long, set binary")
-        full = full.join(sets.select(F.col("doc_id").alias(end), F.col("set").alias(f"set_{end}")), end)
-    return full.select(*pairs.columns, "set_a", "set_b").mapInArrow(verified, kinds)
-
-
-def verify_groups(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (group, a, b) that link: the set of a document travels once to each group that it has pairs in."""
-    members = pairs.select(*GROUP, F.explode(F.array("a", "b")).alias("doc")).distinct()
-    words = bit_filter(docs.sparkSession, members.select(id_bit(F.col("doc"))).distinct())
-    sets = docs.select("doc_id", "text", id_bit(F.col("doc_id"))).mapInArrow(wanted_sets(words), "doc_id long, set binary")
-    sets = members.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select(*GROUP, F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "set")
-    rows = sets.unionByName(pairs.select(*GROUP, "a", "b", F.lit(None).cast("binary").alias("set")))
-    rows = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, F.col("b").asc_nulls_first())
-    return rows.mapInArrow(verified_groups, "a long, b long")
-
-
-def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described documents, shared prefix shingles of representatives)."""
-    heavy = materialize(docs.select("text").mapInArrow(repeats, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")), "ngram-repeats")
-    total = heavy.where(F.col("shingle").isNull()).agg(F.sum("texts")).first()[0] or 0
-    # at most 2^20 shingles have that many texts, whatever the input
-    top = heavy.where(F.col("shingle").isNotNull() & (F.col("texts") >= max(LEAST_HEAVY, total / MOST_HEAVY))).toPandas()
-    order = np.argsort(top.shingle.to_numpy().view(np.uint64)) if len(top) else np.empty(0, int)
-    shingles, weight = top.shingle.to_numpy(np.int64).view(np.uint64)[order], np.log2(top.texts.to_numpy(float) + 1).astype(np.int64)[order]
-    told = docs.mapInArrow(describe(shingles, weight), "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
-    told = materialize(told, "ngram-documents")
-    first = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"))
-    chosen = told.join(first, ["k1", "k2", "n", "doc_id"], "left_semi")
-    rows = chosen.select(F.col("doc_id").alias("doc"), F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = materialize(rows.join(shared, "token"), "ngram-shared")
-    discard(heavy)
-    release(docs.sparkSession)
-    return told, shared
+def verify(docs: DataFrame, ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (leader, root, node) of groups of rows (group, side, node, n, linked, bits). ids: (node, h), the hashed id of one document for each node."""
+    spark = docs.sparkSession
+    dealt = rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    near = materialize(dealt.mapInArrow(suspects, GROUP_KINDS + ", side int, node long, linked boolean"), "ngram-suspects")
+    words = bit_filter(near.select("node").distinct().join(ids, "node").select("h").distinct())
+    sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(wanted_sets(spark.sparkContext.broadcast(words)), "node long, set binary")
+    full = near.join(sets.groupBy("node").agg(F.first("set").alias("set")), "node").select(*GROUP, "side", "node", "linked", "set")
+    out = full.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(linked_groups, "leader long, root long, node long")
+    out = materialize(out, "ngram-links")
+    discard(near)
+    return out
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described documents, links (a, b) between class representatives that connect all components)."""
+    """(described documents: doc_id, n, node, links (root, node) between nodes that connect all components)."""
     spark = docs.sparkSession
-    told, shared = candidates(docs)
-    info = told.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "bits")
-    # the most central document leads: the one with the largest share of its prefix in other documents
-    central = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).join(info.select("doc", "n"), "doc")
-    central = central.select("doc", F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("doc")).alias("low")).alias("rank"))
-    leader = shared.join(central, "doc").groupBy("token").agg(F.max("rank").alias("r")).select("token", (-F.col("r.low")).alias("leader"))
-    canopy = materialize(shared.join(leader, "token").select("leader", "doc").distinct(), "ngram-canopies")
-    discard(shared)
-    release(spark)
-
-    # against the leader: one tree of a single leaf
-    led = canopy.where("doc <> leader").join(info, "doc").select(F.col("doc").alias("a"), F.col("leader").alias("b"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    heads = canopy.where("doc = leader").join(info, "doc").select(F.col("leader").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    star = led.join(heads, "b").where(f"{DEN} * n_a >= {NUM} * n_b and {DEN} * n_b >= {NUM} * n_a").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(leaf_pairs, "a long, b long")
-    star = materialize(star, "ngram-star")
-    release(spark)
-    star_links = materialize(verify(docs, star), "ngram-star-links")
-    discard(star)
-    release(spark)
-
-    # the rest of each canopy, in blocks of documents of like size
-    marked = canopy.join(star_links.select(F.col("a").alias("doc"), F.col("b").alias("leader"), F.lit(True).alias("is_linked")).distinct(), ["leader", "doc"], "left")
-    marked = marked.withColumn("linked", F.coalesce("is_linked", F.col("doc") == F.col("leader"))).drop("is_linked")
-    open_ = marked.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.max((~F.col("linked")).cast("int")).alias("open")).where("open = 1 and m > 2").select("leader", "m")
-    marked = marked.join(open_, "leader").join(info.select("doc", "n"), "doc")
-    band = F.when(F.col("m") <= BLOCK, F.lit(0)).otherwise(1 + 2 * F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(1.05))) + F.col("linked").cast("int"))
-    marked = materialize(marked.select("leader", "doc", "linked", "m", band.cast("long").alias("band")), "ngram-open")
-    sizes = marked.where("m > %d" % BLOCK).groupBy("leader", "band").agg(F.count(F.lit(1)).alias("of_band"))
-    salt = F.pmod(F.xxhash64("doc"), F.ceil(F.coalesce("of_band", F.lit(1)) / BLOCK))
-    placed = materialize(marked.join(sizes, ["leader", "band"], "left").select("leader", "doc", "linked", "m", (F.col("band") * 1_000_000 + salt).alias("block")), "ngram-blocks")
-    zero = [F.lit(0).cast("long").alias(c) for c in ("block_a", "block_b")]
-    small = placed.where(f"m <= {BLOCK}").select("leader", *zero, F.lit(0).alias("side"), "doc", "linked")
-
-    large = placed.where(f"m > {BLOCK}").select("leader", "block", "doc", "linked")
-    tops = large.join(info, "doc").repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(roots, ROOT_KINDS)
-    tops = materialize(tops, "ngram-roots")
+    weights = spark.sparkContext.broadcast(frequencies(docs))
+    told = docs.mapInArrow(describe(weights), "doc_id long, n long, node long, prefix array<long>, bits binary")
+    # an empty set is a node of its own id
+    told = told.withColumn("node", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64(F.lit("empty"), F.col("doc_id"))))
+    told = materialize(told, "ngram-documents")
+    some = told.where("n > 0")
+    ids = some.groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("h"))
+
+    rows = some.select("node", F.explode("prefix").alias("token"))
+    led = rows.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("token", "leader")
+    canopy = rows.join(led, "token").select("leader", "node").distinct()
+    info = some.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    members = materialize(canopy.join(info, "node"), "ngram-members")
+
+    size = members.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    small = (F.col("m") <= BLOCK) & (F.col("all") <= BLOCK_SHINGLES)
+    sized = members.join(size.select("leader", small.alias("small")), "leader")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.05)))).cast("long")
+    large = sized.where("not small").withColumn("band", band)
+    bands = large.groupBy("leader", "band").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"))
+    parts = F.ceil(F.col("c") / F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most")))))
+    large = large.join(bands.select("leader", "band", parts.alias("parts")), ["leader", "band"])
+    large = large.withColumn("block", F.col("band") * 1_000_000_000 + F.pmod(F.xxhash64("node"), F.col("parts"))).select("leader", "block", "node", "n", "bits")
+    large = materialize(large, "ngram-blocks")
+    group = lambda rows, block: rows.select("leader", block.alias("block_a"), block.alias("block_b"), F.lit(0).alias("side"), "node", "n", F.lit(False).alias("linked"), "bits")
+    heads = large.where("node <> leader").select("leader", "block").distinct().join(large.where("node = leader").select("leader", "node", "n", "bits"), "leader")
+    first = group(sized.where("small"), F.lit(0).cast("long")).unionByName(group(large.where("node <> leader"), F.col("block"))).unionByName(group(heads, F.col("block")))
+    one = verify(docs, ids, first)
+
+    # canopies of several blocks with nodes that aren't connected to the leader
+    known = one.where("root = leader").select("leader", "node", F.lit(True).alias("is_linked")).distinct()
+    marked = large.join(known, ["leader", "node"], "left").withColumn("linked", F.coalesce("is_linked", F.col("node") == F.col("leader"))).drop("is_linked")
+    blocks = marked.groupBy("leader").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.min("linked").alias("all_linked")).where("lo <> hi and not all_linked").select("leader")
+    marked = materialize(marked.join(blocks, "leader"), "ngram-open")
+    tops = materialize(marked.repartition("leader", "block").sortWithinPartitions("leader", "block").mapInArrow(roots, ROOT_KINDS), "ngram-roots")
     two = materialize(block_pairs(tops), "ngram-root-pairs")
-    end = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("block"))
-    ends = F.when(F.col("block_a") == F.col("block_b"), F.array(end(0, "block_a"))).otherwise(F.array(end(0, "block_a"), end(1, "block_b")))
-    sides = two.select("leader", "block_a", "block_b", F.explode(ends).alias("s")).select("leader", "block_a", "block_b", "s.side", "s.block")
-    shipped = sides.join(large, ["leader", "block"]).select("leader", "block_a", "block_b", "side", "doc", "linked")
-    rows = small.unionByName(shipped).join(info, "doc").select("leader", "block_a", "block_b", "side", "doc", "n", "linked", "bits")
-    rows = rows.repartition("leader", "block_a", "block_b").sortWithinPartitions("leader", "block_a", "block_b")
-    found = rows.mapInArrow(tree_pairs, GROUP_KINDS + ", a long, b long").where("a <> b").groupBy("a", "b").agg(F.min(F.struct(*GROUP)).alias("g")).select("g.*", "a", "b")
-    known = star_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(found.join(known, ["a", "b"], "left_anti"), "ngram-pairs")
-    release(spark)
-    out = materialize(known.unionByName(verify_groups(docs, pairs)), "ngram-links")
-    for done in (canopy, star_links, marked, placed, tops, two, pairs):
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("block")) for k, c in enumerate(("block_a", "block_b"))])
+    second = two.select(*GROUP, F.explode(sides).alias("s")).select(*GROUP, "s.side", "s.block").join(marked, ["leader", "block"])
+    out = one.unionByName(verify(docs, ids, second.select(*GROUP, "side", "node", "n", "linked", "bits"))).select("root", "node").where("root <> node")
+    for done in (members, large, marked, tops, two):
         discard(done)
-    release(spark)
     return told, out
 
 
-def leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of single leaves that may link."""
-    for b in batches:
-        keep = []
-        for k, (x, y, nx, ny) in enumerate(zip(b.column("bits_a"), b.column("bits_b"), b.column("n_a").to_pylist(), b.column("n_b").to_pylist())):
-            tx, ty = (Tree(np.frombuffer(v.as_buffer(), np.uint8)[None], np.array([m]), np.zeros(1, bool), np.zeros(1, np.int64)) for v, m in ((x, nx), (y, ny)))
-            if len(traverse(tx, ty, False)[0]):
-                keep.append(k)
-        yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links, itself included) of each row."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     told, found = links(base)
-    parts = connected_components(found)
-    classes = told.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = told.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+    # rows of one id are one document
+    several = told.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("root"), F.max("node").alias("other")).where("root <> other").select("doc_id", "root")
+    same = told.join(several, "doc_id").select("root", "node").distinct()
+    parts = connected_components(found.unionByName(same), "root", "node").select(F.col("id").alias("node"), F.col("component").alias("part"))
+    copies = told.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    low = materialize(copies.join(parts, "node", "left").where("part is not null or rows > 1").select("node", "part", "low"), "ngram-nodes")
+    least = materialize(low.where("part is not null").groupBy("part").agg(F.min("low").alias("component_id")), "ngram-least")
+    named = low.where("part is not null").join(least, "part").select("node", "component_id").unionByName(low.where("part is null").select("node", F.col("low").alias("component_id")))
+    named = materialize(named, "ngram-named")
+    out = told.select("doc_id", "n", "node").join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -64,10 +64,37 @@ def test_components_equal_all_pairs(spark):
 
 def test_blocks_of_large_canopies(spark, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK", 6)
-    monkeypatch.setattr(nj, "LEAST_HEAVY", 4)
     check(spark, corpus())
 
 
+def test_blocks_of_few_shingles(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", 500)
+    check(spark, corpus())
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = ("w%d " * 60 % tuple(range(k, k + 60)) for k in (0, 100, 200))
+    got = {}
+    for r in nj.components(spark.createDataFrame([(3, b), (5, b), (5, a), (9, a), (7, ""), (7, c), (8, c), (8, None)], "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.component_id)
+    assert got == {3: {3}, 5: {3}, 9: {3}, 7: {7}, 8: {7}}
+
+
+def test_null_ids_take_part_by_text(spark):
+    a, b = ("w%d " * 60 % tuple(range(k, k + 60)) for k in (0, 100))
+    got = nj.components(spark.createDataFrame([(None, a), (4, a + " more"), (None, b), (None, None), (6, None)], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted([(None, 56, 4), (4, 57, 4), (None, 56, None), (None, 0, None), (6, 0, 6)], key=str)
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    r = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{k}" for k in r.integers(0, 5000, 40))
+    hot = text()
+    rows = [(k, hot if k % 3 == 1 else text()) for k in range(1500)]
+    got = {x.doc_id: x.component_id for x in nj.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: 1 if k % 3 == 1 else k for k, _ in rows}
+
+
 def test_trees_lose_nothing():
     r = np.random.default_rng(6)
     sets = []
