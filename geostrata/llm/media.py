@@ -10,10 +10,14 @@ chunk that several have is stored once, in the shared part, by the object with t
 fitted on a bounded sample and stored beside the packs, serves their compression. The
 manifest of an object is its ordered list of chunks. Reading back joins shared chunks to the packs
 that list them, puts the chunks in order, verifies both digests and computes features of the samples.
-Only digests travel for copies, so a group of any size costs one object.
 
-Nulls: a null text is an empty payload (64 zero bytes). Repeated rows and ids each give a row. An empty
-table gives none. Very long texts are processed one at a time. Further columns are ignored.
+An object that one row has and that shares no chunk goes from its text straight to the store. Bit filters
+over digests, sized by their number, tell on the map side which objects these are; the others' packs
+travel once each to the marks of their shared chunks. Copies send digests and no bytes.
+
+Nulls: a null text is an empty payload (64 zero bytes). A null id gives a row like others. Repeated rows
+and ids each give a row. An empty table gives none. Very long texts are processed one at a time. Further
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import chunks, table64, utf8
-from geostrata.session import materialize, release
+from geostrata.llm.filters import bit_filter, passes
+from geostrata.session import discard, materialize
 
 #: Bounds of a chunk's bytes, hash bits that are zero at a cut, size of a WAV header, payload unit.
 LEAST_CHUNK, MOST_CHUNK, CUT_BITS, HEADER, UNIT = 256, 4096, 10, 44, 64
@@ -103,15 +108,41 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()[:16]
 
 
+def objects_of(texts: pa.Array) -> Iterator[bytes]:
+    """SHA-256 of each text's payload."""
+    data, off = utf8(texts)
+    for lo, hi in zip(off.tolist(), off[1:].tolist()):
+        size = max(UNIT, -(-(hi - lo) // UNIT) * UNIT)
+        h = hashlib.sha256(data[lo:hi])
+        h.update(bytes(size - (hi - lo)))
+        yield h.digest()
+
+
+def short(objects: list[bytes]) -> np.ndarray:
+    """The leading 64 bits of digests."""
+    return np.frombuffer(b"".join(o[:8] for o in objects), np.int64)
+
+
 def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, object, n_bytes, digests."""
+    """doc_id, object, the object's leading bits h, n_bytes, digests."""
     for b in batches:
         obj, n, digests = [], [], []
         for _, size, media, lengths in stored(b.column("text")):
             obj.append(hashlib.sha256(samples(media)).digest())
             n.append(size)
             digests.append([digest(c) for c in parts_of(media, lengths)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(obj, pa.binary()), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "object", "n_bytes", "digests"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(obj, pa.binary()), pa.array(short(obj)), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "object", "h", "n_bytes", "digests"])
+
+
+def special_ones(special):
+    """For mapInArrow: the hashes r of rows (h, r) whose h may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            use = passes(special.value, b.column("h").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("r").filter(pa.array(use))], ["h"])
+
+    return run
 
 
 def train(docs: DataFrame, n: int) -> bytes:
@@ -130,27 +161,53 @@ def codec(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDe
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
-def packed(dictionary: bytes):
-    """For mapInArrow: doc_id, object, lengths, blob: every file compressed, before deduplication."""
+def plain(dictionary: bytes, special):
+    """For mapInArrow: store rows of the objects that are surely not special."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, _ = codec(dictionary)
         for b in batches:
+            use = np.flatnonzero(~passes(special.value, short(list(objects_of(b.column("text"))))))
             rows, size = [], 0
-            for k, _, media, lengths in stored(b.column("text")):
-                rows.append((k, hashlib.sha256(samples(media)).digest(), lengths, z.compress(media)))
-                size += len(rows[-1][3])
+            for _, _, media, lengths in stored(b.column("text").take(pa.array(use))):
+                rows.append((False, hashlib.sha256(samples(media)).digest(), len(lengths), [], lengths, z.compress(media)))
+                size += len(rows[-1][5])
                 if size > BATCH_BYTES:
-                    yield pack_batch(b, rows)
+                    yield store_batch(rows)
                     rows, size = [], 0
-            yield pack_batch(b, rows)
+            yield store_batch(rows)
 
     return run
 
 
-def pack_batch(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-    ids = b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-    return pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "object", "lengths", "blob"])
+def packed(dictionary: bytes, special, firsts):
+    """For mapInArrow: object, lengths, blob of special objects, from the rows that stand for them; once in a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, _ = codec(dictionary)
+        sent: set[bytes] = set()
+        for b in batches:
+            objects = list(objects_of(b.column("text")))
+            h = short(objects)
+            use = [int(k) for k in np.flatnonzero(passes(special.value, h) & passes(firsts.value, h ^ b.column("d").to_numpy())) if objects[k] not in sent and not sent.add(objects[k])]
+            rows, size = [], 0
+            for k, _, media, lengths in stored(b.column("text").take(pa.array(use, pa.int64()))):
+                rows.append((objects[use[k]], lengths, z.compress(media)))
+                size += len(rows[-1][2])
+                if size > BATCH_BYTES:
+                    yield pack_batch(rows)
+                    rows, size = [], 0
+            yield pack_batch(rows)
+
+    return run
+
+
+def pack_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int32()), pa.binary()))], ["object", "lengths", "blob"])
+
+
+def store_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
 
 
 STORE = pa.schema([("shared", pa.bool_()), ("key", pa.binary()), ("n_chunks", pa.int32()), ("foreign", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("blob", pa.binary())])
@@ -175,9 +232,9 @@ def stowed(dictionary: bytes):
                     rows += [(True, digest(parts[k]), 1, [], [lengths[k]], z.compress(parts[k])) for k in owned]
                 size += len(rows[-1][5])
                 if size > BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
+                    yield store_batch(rows)
                     rows, size = [], 0
-            yield pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
+            yield store_batch(rows)
 
     return run
 
@@ -215,35 +272,45 @@ def feature(payload: bytes, n_chunks: int) -> str:
     return f"sum={int(wide.sum())};squares={int(wide @ wide)};crossings={int(np.count_nonzero(high[1:] != high[:-1]))};chunks={n_chunks}"
 
 
+STORED = "shared boolean, key binary, n_chunks int, foreign array<int>, lengths array<int>, blob binary"
+
+
 def store_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Store all payloads and read them back: doc_id, n_bytes, the digests, the features, verified."""
+    spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    listed = materialize(base.mapInArrow(manifest, f"doc_id {kind}, object binary, n_bytes long, digests array<binary>"), "media-manifest")
-    # one document stands for each object; the others are links to it
-    objects = listed.groupBy("object").agg(F.min("doc_id").alias("doc_id"), F.first("digests").alias("digests"))
+    listed = materialize(base.mapInArrow(manifest, f"doc_id {kind}, object binary, h long, n_bytes long, digests array<binary>"), "media-manifest")
+    # one row stands for each object; the others are links to it
+    objects = listed.groupBy("object").agg(F.min("doc_id").alias("doc_id"), F.first("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.first("digests").alias("digests"))
     refs = objects.select("object", F.posexplode("digests").alias("seq", "digest"))
     several = refs.groupBy("digest").agg(F.min("object").alias("owner"), F.max("object").alias("other")).where(F.col("owner") != F.col("other")).select("digest", "owner")
+    several = materialize(several, "media-several")
     shared = materialize(refs.join(several, "digest"), "media-shared")
     owned = shared.where(F.col("object") == F.col("owner")).groupBy("object", "digest").agg(F.min("seq").alias("seq")).groupBy("object").agg(F.collect_list("seq").alias("owned"))
-    lists = shared.groupBy("object").agg(F.collect_list("seq").alias("foreign")).join(owned, "object", "left")
-    marks = objects.select("object", "doc_id").join(lists, "object", "left")
+    marks = materialize(shared.groupBy("object").agg(F.collect_list("seq").alias("foreign")).join(owned, "object", "left"), "media-marks")
+
+    firsts = objects.select("object", "h", F.col("h").bitwiseXOR(F.xxhash64("doc_id")).alias("r"), "rows")
+    firsts = materialize(firsts, "media-objects")
+    special = firsts.where("rows > 1").select("h").unionByName(firsts.join(marks, "object", "left_semi").select("h"))
+    special = spark.sparkContext.broadcast(bit_filter(special))
+    first = spark.sparkContext.broadcast(bit_filter(firsts.select("h", "r").mapInArrow(special_ones(special), "h long")))
+
     dictionary = train(base, listed.count())
-    saved = materialize(docs.sparkSession.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "media-dictionary")
-    files = base.mapInArrow(packed(dictionary), f"doc_id {kind}, object binary, lengths array<int>, blob binary")
-    marked = files.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).join(marks.withColumn("d", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).drop("doc_id"), ["d", "object"])
-    rows = marked.select("object", "lengths", "blob", "foreign", "owned").mapInArrow(stowed(dictionary), "shared boolean, key binary, n_chunks int, foreign array<int>, lengths array<int>, blob binary")
-    release(docs.sparkSession)
-    store = materialize(rows, "media-store", ("shared",))
-    release(docs.sparkSession)
+    saved = materialize(spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "media-dictionary")
+    alone = materialize(base.select("text").mapInArrow(plain(dictionary, special), STORED), "media-store-plain")
+    files = base.select(F.xxhash64("doc_id").alias("d"), "text").mapInArrow(packed(dictionary, special, first), "object binary, lengths array<int>, blob binary")
+    marked = files.dropDuplicates(["object"]).join(marks, "object", "left").select("object", "lengths", "blob", "foreign", "owned")
+    store = materialize(marked.mapInArrow(stowed(dictionary), STORED), "media-store", ("shared",))
 
     reading = read_back(bytes(saved.first()[0]))  # what a reader of the store finds beside it
-    packs, common = store.where(~F.col("shared")), store.where(F.col("shared")).select(F.col("key").alias("digest"), "blob").dropDuplicates(["digest"])
+    packs, common = store.where(~F.col("shared")), store.where(F.col("shared")).select(F.col("key").alias("digest"), "blob")
     none = F.lit(None).cast("array<struct<seq:int,blob:binary>>")
-    whole = packs.where(F.size("foreign") == 0).select("key", "n_chunks", "lengths", "blob", none.alias("got"))
+    whole = alone.unionByName(packs.where(F.size("foreign") == 0).select(*alone.columns)).select("key", "n_chunks", "lengths", "blob", none.alias("got"))
     brought = shared.join(common, "digest").groupBy("object").agg(F.collect_list(F.struct("seq", "blob")).alias("got"))
     mixed = packs.where(F.size("foreign") > 0).join(brought.withColumnRenamed("object", "key"), "key").select("key", "n_chunks", "lengths", "blob", "got")
     back = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, verified boolean"
-    read = whole.mapInArrow(reading, back).unionByName(mixed.mapInArrow(reading, back)).dropDuplicates(["object"])
-    read = materialize(read, "media-read")
+    read = materialize(whole.mapInArrow(reading, back).unionByName(mixed.mapInArrow(reading, back)), "media-read")
+    for done in (several, shared, marks, firsts):
+        discard(done)
     return listed.select("doc_id", "object", "n_bytes").join(read, "object").drop("object")

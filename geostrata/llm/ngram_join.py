@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import Words, chunks, mix64, table64, utf8
+from geostrata.llm.filters import bit_filter, passes
 from geostrata.operators.components import connected_components
 from geostrata.session import discard, materialize
 
@@ -166,8 +167,7 @@ def wanted_sets(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words.value
         for b in batches:
-            h = b.column("h").to_numpy() & (64 * len(w) - 1)
-            use = np.flatnonzero((w[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))
+            use = np.flatnonzero(passes(w, b.column("h").to_numpy()))
             if len(use):
                 b = b.take(pa.array(use))
                 for _, sets in all_sets(b.column("text")):
@@ -383,17 +383,6 @@ def linked_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in ([leader] * len(nodes), tops, nodes)], ["leader", "root", "node"])
 
 
-def bit_filter(ids: DataFrame) -> np.ndarray:
-    """A filter over hashes (column h): about 16 bits each, within 2^16 to 2^28 bits (32 MB). More that pass cost time only."""
-    bits = min(28, max(16, (16 * ids.count()).bit_length()))
-    h = F.col("h").bitwiseAND((1 << bits) - 1)
-    words = ids.groupBy(F.shiftright(h, 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits"))
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for w, v in words.toLocalIterator():
-        out[w] = v
-    return out.view(np.uint64)
-
-
 def verify(docs: DataFrame, ids: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (leader, root, node) of groups of rows (group, side, node, n, linked, bits). ids: (node, h), the hashed id of one document for each node."""
     spark = docs.sparkSession

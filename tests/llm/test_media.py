@@ -47,5 +47,26 @@ def test_near_copies_share_chunks():
     assert len(sets[0] & sets[1]) > 0.8 * len(sets[0])
 
 
+def test_filters_that_let_all_pass(spark, monkeypatch):
+    """Two bits a filter: nearly every object counts as special, and nothing may be lost."""
+    from geostrata.llm import filters
+
+    monkeypatch.setattr(filters, "LEAST_BITS", 6)
+    monkeypatch.setattr(filters, "MOST_BITS", 6)
+    rows = [(k if k % 5 else None, f"text {k % 70} " * (k % 9)) for k in range(200)]
+    got = media.store_and_read(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = sorted((str(i), hashlib.sha256(payload(t)).hexdigest()) for i, t in rows)
+    assert sorted((str(r.doc_id), r.payload_sha256) for r in got) == want and all(r.verified for r in got)
+
+
+def test_a_chunk_that_a_third_has(spark):
+    r = np.random.default_rng(5)
+    text = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    hot = text(6000)
+    rows = [(k, hot + text(300) if k % 3 == 0 else hot if k % 3 == 1 and k > 300 else text(500)) for k in range(600)]
+    got = media.store_and_read(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.payload_sha256 for x in got} == {i: hashlib.sha256(payload(t)).hexdigest() for i, t in rows}
+
+
 def test_empty(spark):
     assert media.store_and_read(spark.createDataFrame([], "doc_id long, text string")).count() == 0
