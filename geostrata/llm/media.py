@@ -6,14 +6,16 @@ hash bits are zero, in chunks of 256 to 4096 bytes, so that near copies share mo
 
 Files with the same payload are one object. The digests of all objects' chunks are joined in Spark: a
 chunk that only one object has goes to that object's pack (its private chunks, compressed together), a
-chunk that several have is stored once, in the shared part, by the object with the least digest. A small dictionary,
-fitted on a bounded sample and stored beside the packs, serves their compression. The
+chunk that several have is stored once, in the shared part, by the object with the least digest. A small
+dictionary, fitted on a bounded sample and stored beside the packs, serves their compression. The
 manifest of an object is its ordered list of chunks. Reading back joins shared chunks to the packs
 that list them, puts the chunks in order, verifies both digests and computes features of the samples.
 
-An object that one row has and that shares no chunk goes from its text straight to the store. Bit filters
-over digests, sized by their number, tell on the map side which objects these are; the others' packs
-travel once each to the marks of their shared chunks. Copies send digests and no bytes.
+Digests travel, bytes mostly don't. Bit filters over digests, sized by their number, tell on the map side
+which chunks are shared, which object stores one, and which row stands for copies, so packs go from their
+text straight to the store. A filter lets some more pass than it should: such a chunk is stored as a shared
+one with one user. What several rows may store (packs of objects with copies, shared chunks) is made
+unique by a shuffle of these alone.
 
 Nulls: a null text is an empty payload (64 zero bytes). A null id gives a row like others. Repeated rows
 and ids each give a row. An empty table gives none. Very long texts are processed one at a time. Further
@@ -124,17 +126,21 @@ def short(objects: list[bytes]) -> np.ndarray:
 
 
 def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, object, the object's leading bits h, n_bytes, digests."""
+    """doc_id, object, the object's leading bits h, n_bytes, digests, their leading bits."""
     for b in batches:
-        obj, n, digests = [], [], []
+        obj, n, digests, leading = [], [], [], []
         for _, size, media, lengths in stored(b.column("text")):
             obj.append(hashlib.sha256(samples(media)).digest())
             n.append(size)
             digests.append([digest(c) for c in parts_of(media, lengths)])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(obj, pa.binary()), pa.array(short(obj)), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["doc_id", "object", "h", "n_bytes", "digests"])
+            leading.append(short(digests[-1]))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(obj, pa.binary()), pa.array(short(obj)), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(leading, pa.list_(pa.int64()))],
+            ["doc_id", "object", "h", "n_bytes", "digests", "leading"],
+        )
 
 
-def special_ones(special):
+def let_through(special):
     """For mapInArrow: the hashes r of rows (h, r) whose h may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,84 +167,56 @@ def codec(dictionary: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDe
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
-def plain(dictionary: bytes, special):
-    """For mapInArrow: store rows of the objects that are surely not special."""
+STORE = pa.schema([("shared", pa.bool_()), ("key", pa.binary()), ("n_chunks", pa.int32()), ("foreign", pa.list_(pa.int32())), ("uses", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("blob", pa.binary())])
+STORED = "shared boolean, key binary, n_chunks int, foreign array<int>, uses array<binary>, lengths array<int>, blob binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, _ = codec(dictionary)
-        for b in batches:
-            use = np.flatnonzero(~passes(special.value, short(list(objects_of(b.column("text"))))))
-            rows, size = [], 0
-            for _, _, media, lengths in stored(b.column("text").take(pa.array(use))):
-                rows.append((False, hashlib.sha256(samples(media)).digest(), len(lengths), [], lengths, z.compress(media)))
-                size += len(rows[-1][5])
-                if size > BATCH_BYTES:
-                    yield store_batch(rows)
-                    rows, size = [], 0
-            yield store_batch(rows)
-
-    return run
 
+def stowed(dictionary: bytes, filters, copied: bool):
+    """For mapInArrow: store rows (a pack an object, and shared chunks that the object stores) of objects with copies, or of the others.
 
-def packed(dictionary: bytes, special, firsts):
-    """For mapInArrow: object, lengths, blob of special objects, from the rows that stand for them; once in a partition."""
+    filters: broadcast bit filters: objects with copies; rows that stand for one; shared chunks; (chunk, object) that store one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, _ = codec(dictionary)
+        special, firsts, common, owners = filters.value
         sent: set[bytes] = set()
         for b in batches:
             objects = list(objects_of(b.column("text")))
             h = short(objects)
-            use = [int(k) for k in np.flatnonzero(passes(special.value, h) & passes(firsts.value, h ^ b.column("d").to_numpy())) if objects[k] not in sent and not sent.add(objects[k])]
+            use = passes(special, h)
+            use = np.flatnonzero(use & passes(firsts, h ^ b.column("d").to_numpy()) if copied else ~use)
             rows, size = [], 0
-            for k, _, media, lengths in stored(b.column("text").take(pa.array(use, pa.int64()))):
-                rows.append((objects[use[k]], lengths, z.compress(media)))
-                size += len(rows[-1][2])
+            for k, _, media, lengths in stored(b.column("text").take(pa.array(use))):
+                obj = objects[use[k]]
+                if copied and obj in sent:
+                    continue
+                if copied:
+                    sent.add(obj)
+                parts = parts_of(media, lengths)
+                digests = [digest(c) for c in parts]
+                leading = short(digests)
+                out = passes(common, leading)
+                foreign = np.flatnonzero(out).tolist()
+                own = b"".join(c for c, o in zip(parts, out) if not o) if foreign else media
+                rows.append((False, obj, len(parts), foreign, [digests[i] for i in foreign], [n for n, o in zip(lengths, out) if not o], z.compress(own)))
+                for i in np.flatnonzero(out & passes(owners, leading ^ h[use[k]])).tolist():
+                    if digests[i] not in sent:
+                        sent.add(digests[i])
+                        rows.append((True, digests[i], 1, [], [], [lengths[i]], z.compress(parts[i])))
+                size += len(rows[-1][6]) + len(own) // 4
                 if size > BATCH_BYTES:
-                    yield pack_batch(rows)
+                    yield store_batch(rows)
                     rows, size = [], 0
-            yield pack_batch(rows)
+            yield store_batch(rows)
 
     return run
 
 
-def pack_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.list_(pa.int32()), pa.binary()))], ["object", "lengths", "blob"])
-
-
 def store_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(STORE.names, r)) for r in rows], STORE)
 
 
-STORE = pa.schema([("shared", pa.bool_()), ("key", pa.binary()), ("n_chunks", pa.int32()), ("foreign", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("blob", pa.binary())])
-
-
-def stowed(dictionary: bytes):
-    """For mapInArrow: store rows, one pack an object, and the shared chunks that it owns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, unz = codec(dictionary)
-        for b in batches:
-            rows, size = [], 0
-            for obj, lengths, blob, foreign, owned in zip(*(b.column(c) for c in ("object", "lengths", "blob", "foreign", "owned"))):
-                obj, lengths, foreign, owned = obj.as_py(), lengths.as_py(), foreign.as_py() or [], owned.as_py() or []
-                if not foreign:
-                    rows.append((False, obj, len(lengths), [], lengths, blob.as_py()))
-                else:
-                    parts = parts_of(unz.decompress(blob.as_py()), lengths)
-                    out = set(foreign)
-                    own = b"".join(p for k, p in enumerate(parts) if k not in out)
-                    rows.append((False, obj, len(lengths), foreign, [n for k, n in enumerate(lengths) if k not in out], z.compress(own)))
-                    rows += [(True, digest(parts[k]), 1, [], [lengths[k]], z.compress(parts[k])) for k in owned]
-                size += len(rows[-1][5])
-                if size > BATCH_BYTES:
-                    yield store_batch(rows)
-                    rows, size = [], 0
-            yield store_batch(rows)
-
-    return run
-
-
 BACK = pa.schema([("object", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("verified", pa.bool_())])
 
 
@@ -272,45 +250,43 @@ def feature(payload: bytes, n_chunks: int) -> str:
     return f"sum={int(wide.sum())};squares={int(wide @ wide)};crossings={int(np.count_nonzero(high[1:] != high[:-1]))};chunks={n_chunks}"
 
 
-STORED = "shared boolean, key binary, n_chunks int, foreign array<int>, lengths array<int>, blob binary"
-
-
 def store_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Store all payloads and read them back: doc_id, n_bytes, the digests, the features, verified."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    listed = materialize(base.mapInArrow(manifest, f"doc_id {kind}, object binary, h long, n_bytes long, digests array<binary>"), "media-manifest")
+    listed = materialize(base.mapInArrow(manifest, f"doc_id {kind}, object binary, h long, n_bytes long, digests array<binary>, leading array<long>"), "media-manifest")
     # one row stands for each object; the others are links to it
-    objects = listed.groupBy("object").agg(F.min("doc_id").alias("doc_id"), F.first("h").alias("h"), F.count(F.lit(1)).alias("rows"), F.first("digests").alias("digests"))
-    refs = objects.select("object", F.posexplode("digests").alias("seq", "digest"))
-    several = refs.groupBy("digest").agg(F.min("object").alias("owner"), F.max("object").alias("other")).where(F.col("owner") != F.col("other")).select("digest", "owner")
-    several = materialize(several, "media-several")
-    shared = materialize(refs.join(several, "digest"), "media-shared")
-    owned = shared.where(F.col("object") == F.col("owner")).groupBy("object", "digest").agg(F.min("seq").alias("seq")).groupBy("object").agg(F.collect_list("seq").alias("owned"))
-    marks = materialize(shared.groupBy("object").agg(F.collect_list("seq").alias("foreign")).join(owned, "object", "left"), "media-marks")
-
-    firsts = objects.select("object", "h", F.col("h").bitwiseXOR(F.xxhash64("doc_id")).alias("r"), "rows")
-    firsts = materialize(firsts, "media-objects")
-    special = firsts.where("rows > 1").select("h").unionByName(firsts.join(marks, "object", "left_semi").select("h"))
-    special = spark.sparkContext.broadcast(bit_filter(special))
-    first = spark.sparkContext.broadcast(bit_filter(firsts.select("h", "r").mapInArrow(special_ones(special), "h long")))
+    objects = materialize(listed.groupBy("h", "object").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")), "media-objects")
+    refs = listed.select("h", F.explode(F.arrays_zip("digests", "leading")).alias("c")).select("h", F.col("c.digests").alias("digest"), F.col("c.leading").alias("leading"))
+    stores = refs.groupBy("digest", "leading").agg(F.min("h").alias("owner"), F.max("h").alias("other"))
+    stores = materialize(stores.select(F.col("leading").alias("h"), F.col("leading").bitwiseXOR(F.col("owner")).alias("r"), (F.col("owner") != F.col("other")).alias("several")), "media-chunks")
+
+    def through(rows: DataFrame, words: np.ndarray) -> np.ndarray:
+        return bit_filter(rows.select("h", "r").mapInArrow(let_through(spark.sparkContext.broadcast(words)), "h long"))
+
+    special, common = bit_filter(objects.where("rows > 1").select("h")), bit_filter(stores.where("several").select("h"))
+    firsts = objects.select("h", F.col("h").bitwiseXOR(F.xxhash64("doc_id")).alias("r"))
+    filters = spark.sparkContext.broadcast((special, through(firsts, special), common, through(stores, common)))
 
     dictionary = train(base, listed.count())
     saved = materialize(spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary"), "media-dictionary")
-    alone = materialize(base.select("text").mapInArrow(plain(dictionary, special), STORED), "media-store-plain")
-    files = base.select(F.xxhash64("doc_id").alias("d"), "text").mapInArrow(packed(dictionary, special, first), "object binary, lengths array<int>, blob binary")
-    marked = files.dropDuplicates(["object"]).join(marks, "object", "left").select("object", "lengths", "blob", "foreign", "owned")
-    store = materialize(marked.mapInArrow(stowed(dictionary), STORED), "media-store", ("shared",))
+    texts = base.select(F.xxhash64("doc_id").alias("d"), "text")
+    alone = materialize(texts.mapInArrow(stowed(dictionary, filters, False), STORED), "media-store", ("shared",))
+    copied = texts.mapInArrow(stowed(dictionary, filters, True), STORED)
+    once = materialize(copied.unionByName(alone.where("shared").select(*copied.columns)).dropDuplicates(["shared", "key"]), "media-store-once", ("shared",))
 
     reading = read_back(bytes(saved.first()[0]))  # what a reader of the store finds beside it
-    packs, common = store.where(~F.col("shared")), store.where(F.col("shared")).select(F.col("key").alias("digest"), "blob")
+    packs = alone.where("not shared").unionByName(once.where("not shared"))
+    common_chunks = once.where("shared").select(F.col("key").alias("digest"), F.col("blob").alias("chunk"))
     none = F.lit(None).cast("array<struct<seq:int,blob:binary>>")
-    whole = alone.unionByName(packs.where(F.size("foreign") == 0).select(*alone.columns)).select("key", "n_chunks", "lengths", "blob", none.alias("got"))
-    brought = shared.join(common, "digest").groupBy("object").agg(F.collect_list(F.struct("seq", "blob")).alias("got"))
-    mixed = packs.where(F.size("foreign") > 0).join(brought.withColumnRenamed("object", "key"), "key").select("key", "n_chunks", "lengths", "blob", "got")
+    whole = packs.where(F.size("foreign") == 0).select("key", "n_chunks", "lengths", "blob", none.alias("got"))
+    mixed = packs.where(F.size("foreign") > 0)
+    asked = mixed.select("key", F.explode(F.arrays_zip("foreign", "uses")).alias("u")).select("key", F.col("u.foreign").alias("seq"), F.col("u.uses").alias("digest"))
+    brought = asked.join(common_chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("seq", F.col("chunk").alias("blob"))).alias("got"))
+    mixed = mixed.select("key", "n_chunks", "lengths", "blob").join(brought, "key").select("key", "n_chunks", "lengths", "blob", "got")
     back = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, verified boolean"
     read = materialize(whole.mapInArrow(reading, back).unionByName(mixed.mapInArrow(reading, back)), "media-read")
-    for done in (several, shared, marks, firsts):
+    for done in (objects, stores):
         discard(done)
     return listed.select("doc_id", "object", "n_bytes").join(read, "object").drop("object")

@@ -49,8 +49,8 @@ from geostrata.session import discard, materialize
 
 N, NUM, DEN = 5, 80, 100
 FANOUT, BLOCK, PAIR_BYTES = 8, 256, 8_000_000
-#: Shingles of a block's sets at most (unless one pair has more), counters of a segment of the sketch.
-BLOCK_SHINGLES, SEGMENT = 4_000_000, 1 << 16
+#: Shingles of a block's sets at most (unless one pair has more), counters of a segment of the sketch, bytes of text worked on at once.
+BLOCK_SHINGLES, SEGMENT, BLOCK_BYTES = 4_000_000, 1 << 16, 1_000_000
 PLACE = table64(N, 77)
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -78,7 +78,7 @@ def shingle_sets(part: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
 
 def all_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     data, off = utf8(column)
-    for lo, _, part, o in chunks(data, off):
+    for lo, _, part, o in chunks(data, off, BLOCK_BYTES):
         yield lo, shingle_sets(part, o)
 
 
