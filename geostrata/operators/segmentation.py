@@ -107,7 +107,7 @@ def grid_triangles(cells: DataFrame, stride: int) -> DataFrame:
 
 
 def watershed(r: DataFrame, cols: int, rounds: int = 1000) -> DataFrame:
-    """(row, col, label) of mask cells flooded step by step from marker components; label 0 where two floods meet at once."""
+    """(row, col, label) of mask cells flooded step by step from marker components; label 0 where two floods meet at once. Raises where rounds don't suffice."""
     seeds = labels4(r.where("marker and mask"), cols)
     state = materialize(seeds.select(*CELL, (F.col("label") + 1).alias("label")), "watershed")
     mask = r.where("mask").select(*CELL)
@@ -120,4 +120,4 @@ def watershed(r: DataFrame, cols: int, rounds: int = 1000) -> DataFrame:
         if not front.limit(1).count():
             return state
         state = materialize(state.unionByName(front), "watershed")
-    return state
+    raise RuntimeError(f"floods did not meet in {rounds} rounds")

@@ -49,9 +49,9 @@ def mesh_elevation(spark, d):
     return rounded(mesh.elevation(triangles(spark, d)), "v")
 
 
-@query(f"""WITH {fx.VEC_SQL} SELECT id, i, j, round(x + 2 * cos(j * {math.pi / 2 / 9!r}::DOUBLE) * cos(i * {2 * math.pi / 20!r}::DOUBLE), 6) AS x, round(y + 2 * cos(j * {math.pi / 2 / 9!r}::DOUBLE) * sin(i * {2 * math.pi / 20!r}::DOUBLE), 6) AS y, round(z + 2 * sin(j * {math.pi / 2 / 9!r}::DOUBLE), 6) AS z FROM vec, range(0, 20) a(i), range(0, 10) b(j) WHERE id < 20""")
+@query(f"""WITH {fx.VEC_SQL} SELECT id, i, j, round(x + 2 * cos(j * {math.pi / 2 / 9!r}::DOUBLE) * cos(i * {2 * math.pi / 20!r}::DOUBLE), 6) AS x, round(y + 2 * cos(j * {math.pi / 2 / 9!r}::DOUBLE) * sin(i * {2 * math.pi / 20!r}::DOUBLE), 6) AS y, round(z + 2 * sin(j * {math.pi / 2 / 9!r}::DOUBLE), 6) AS z FROM vec, range(0, 20) a(i), range(0, 10) b(j)""")
 def sphere_patch_mesh(spark, d):
-    s = fx.vec(spark, d).where("id < 20").withColumn("radius", F.lit(2.0))
+    s = fx.vec(spark, d).withColumn("radius", F.lit(2.0))
     return rounded(mesh.sphere_patches(s), "x", "y", "z")
 
 
@@ -82,12 +82,12 @@ def pansharpen_brovey(spark, d):
     return fx.bands(spark, d).select("pid", F.round(c("blue") * k, 6).alias("blue"), F.round(c("red") * k, 6).alias("red"))
 
 
-@query(f"WITH {fx.BANDS_SQL}, l AS (SELECT pid, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS band, unnest([0, blue, green, 0, red, 0, nir, 0]) AS v FROM bands) SELECT pid, band, v FROM l WHERE pid % 10 = 0")
+@query(f"WITH {fx.BANDS_SQL}, l AS (SELECT pid, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS band, unnest([0, blue, green, 0, red, 0, nir, 0]) AS v FROM bands) SELECT pid, band, v FROM l")
 def band_layout8(spark, d):
     """Four bands in the places they have among eight; the others are 0."""
     z = F.lit(0.0)
     v = F.array(z, c("blue"), c("green"), z, c("red"), z, c("nir"), z)
-    return fx.bands(spark, d).where("pid % 10 = 0").select("pid", F.posexplode(v).alias("k", "v")).select("pid", (c("k") + 1).alias("band"), "v")
+    return fx.bands(spark, d).select("pid", F.posexplode(v).alias("k", "v")).select("pid", (c("k") + 1).alias("band"), "v")
 
 
 @query("WITH p AS (SELECT vec_id AS id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT i, min(v) AS lo, max(v) AS hi FROM p GROUP BY 1) SELECT i // 3 AS image, i % 3 AS channel, sum(floor((v - lo) / (hi - lo) * 255))::BIGINT AS total FROM p JOIN m USING (i) GROUP BY 1, 2")
@@ -106,8 +106,8 @@ def fold_mean_sigmoid(spark, d):
     return e.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(1 / (1 + F.exp(-F.avg((c("value") - 245) / 100))), 9).alias("p"))
 
 
-@query(f"WITH {fx.PTS_SQL}, f AS (SELECT k1, k2, k3, k4, least(greatest(z - 20, 0.0), 40.0) * 255 / 40 AS depth, green FROM pts) SELECT k1, k2, k3, k4, round(depth, 9) AS depth, round(depth / 127.5 - 1, 9) AS scaled FROM f WHERE depth < 200")
+@query(f"WITH {fx.PTS_SQL}, f AS (SELECT k1, k2, k3, k4, least(greatest(z - 20, 0.0), 40.0) * 255 / 40 AS depth, green FROM pts) SELECT k1, k2, k3, k4, round(depth, 9) AS depth, round(depth / 127.5 - 1, 9) AS scaled FROM f")
 def depth_clamp(spark, d):
     depth = F.least(F.greatest(c("z") - 20, F.lit(0.0)), F.lit(40.0)) * 255 / 40
-    p = fx.pts(spark, d).withColumn("depth", depth).where("depth < 200")
+    p = fx.pts(spark, d).withColumn("depth", depth)
     return p.select("k1", "k2", "k3", "k4", F.round("depth", 9).alias("depth"), F.round(c("depth") / 127.5 - 1, 9).alias("scaled"))

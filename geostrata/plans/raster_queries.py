@@ -12,7 +12,8 @@ from geostrata.operators import terrain
 from geostrata.plans.registry import query
 
 PTS, GRID = fx.PTS_SQL, fx.GRID_SQL
-N = 100  # cells along each side of the grid in the SQL twins
+#: Rows and columns of the grid in SQL: up to its own last ones.
+ROWS, COLS = '(SELECT max("row") + 1 FROM grid)', "(SELECT max(col) + 1 FROM grid)"
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -20,9 +21,9 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def extent(spark, d) -> tuple[int, int]:
-    """Rows and columns of the point grid: up to its own last ones, and no fewer than the twins' N."""
+    """Rows and columns of the point grid: up to its own last ones; an empty grid has none."""
     last = fx.pts(spark, d).agg(F.max(F.floor(F.col("y") / fx.DY)), F.max(F.floor(F.col("x") / fx.DX))).first()
-    return tuple(N if k is None else max(N, k + 1) for k in last)
+    return tuple(0 if k is None else k + 1 for k in last)
 
 
 @query(f'WITH {GRID} SELECT "row", col, v FROM grid')
@@ -75,7 +76,7 @@ def ndsm_classes(spark, d):
     return sg.height_class(height(spark, d)).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {GROUND}, low AS (SELECT "row", col FROM ndsm WHERE h <= 4), full_ AS (SELECT r AS "row", c AS col FROM range(0, {N}) a(r), range(0, {N}) b(c))
+@query(f"""WITH {GROUND}, low AS (SELECT "row", col FROM ndsm WHERE h <= 4), full_ AS (SELECT r AS "row", c AS col FROM range(0, {ROWS}) a(r), range(0, {COLS}) b(c))
 SELECT f."row", f.col, coalesce(g.v, t.g) AS v FROM full_ f LEFT JOIN (SELECT "row", col, v FROM grid WHERE v < 60) g ON f."row" = g."row" AND f.col = g.col JOIN ground t ON floor(f."row" / 10) = gr AND floor(f.col / 10) = gc""")
 def dsm_hole_fill(spark, d):
     g = fx.grid(spark, d)
@@ -99,7 +100,7 @@ def square_sql(src: str, out: str, f: str, radius: int) -> str:
     return f"""{out}_a AS (SELECT "row", col, {f}(v) OVER ({LINE.format(radius)}) AS v FROM {src}), {out} AS (SELECT "row", col, {f}(v) OVER ({COLUMN.format(radius)}) AS v FROM {out}_a)"""
 
 
-@query(f"""WITH {GRID}, o AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)), asks AS (SELECT "row", col, least(greatest("row" + a, 0), {N - 1}) AS r2, least(greatest(col + b, 0), {N - 1}) AS c2 FROM grid, o)
+@query(f"""WITH {GRID}, o AS (SELECT a, b FROM range(-1, 2) x(a), range(-1, 2) y(b)), asks AS (SELECT "row", col, least(greatest("row" + a, 0), {ROWS} - 1) AS r2, least(greatest(col + b, 0), {COLS} - 1) AS c2 FROM grid, o)
 SELECT k."row", k.col, round(avg(g.v), 9) AS v FROM asks k JOIN grid g ON g."row" = r2 AND g.col = c2 GROUP BY 1, 2""")
 def box_filter3(spark, d):
     return rounded(rs.box_mean3(fx.grid(spark, d), *extent(spark, d)), "v", digits=9)
@@ -139,7 +140,7 @@ def grey_open_close_disk(spark, d):
 
 
 @query(f"""WITH {GRID}, small AS (SELECT "row" // 2 AS r, col // 2 AS c, v FROM grid WHERE "row" % 2 = 0 AND col % 2 = 0)
-SELECT r * 2 + a AS "row", c * 2 + b AS col, v FROM small, range(0, 2) x(a), range(0, 2) y(b) WHERE r * 2 + a < {N} AND c * 2 + b < {N}""")
+SELECT r * 2 + a AS "row", c * 2 + b AS col, v FROM small, range(0, 2) x(a), range(0, 2) y(b) WHERE r * 2 + a < {ROWS} AND c * 2 + b < {COLS}""")
 def pyramid_down_up(spark, d):
     return rs.up2(rs.down2(fx.grid(spark, d)), *extent(spark, d))
 
@@ -151,14 +152,14 @@ def texture_dilate(spark, d):
     return rs.dilate_black(t)
 
 
-@query(f"""WITH {GRID}, full_ AS (SELECT r AS "row", c AS col FROM range(0, {N}) a(r), range(0, {N}) b(c)), hole AS (SELECT f."row", f.col FROM full_ f ANTI JOIN grid g ON f."row" = g."row" AND f.col = g.col)
+@query(f"""WITH {GRID}, full_ AS (SELECT r AS "row", c AS col FROM range(0, {ROWS}) a(r), range(0, {COLS}) b(c)), hole AS (SELECT f."row", f.col FROM full_ f ANTI JOIN grid g ON f."row" = g."row" AND f.col = g.col)
 SELECT h."row", h.col, round(sum(g.v / sqrt((g."row" - h."row") ** 2 + (g.col - h.col) ** 2)) / sum(1 / sqrt((g."row" - h."row") ** 2 + (g.col - h.col) ** 2)), 6) AS v
 FROM hole h JOIN grid g ON g."row" BETWEEN h."row" - 3 AND h."row" + 3 AND g.col BETWEEN h.col - 3 AND h.col + 3 GROUP BY 1, 2""")
 def fill_holes_idw(spark, d):
     return rounded(rs.fill_holes(fx.grid(spark, d), *extent(spark, d), 3), "v")
 
 
-COMP = f"""RECURSIVE {GRID}, cell AS (SELECT "row", col, "row" * {N} + col AS id FROM grid WHERE v > 100),
+COMP = f"""RECURSIVE {GRID}, cell AS (SELECT "row", col, "row" * {COLS} + col AS id FROM grid WHERE v > 100),
 e AS (SELECT a.id AS a, b.id AS b FROM cell a JOIN cell b ON (a."row" = b."row" AND abs(a.col - b.col) = 1) OR (a.col = b.col AND abs(a."row" - b."row") = 1)),
 reach AS (SELECT id AS a, id AS b FROM cell UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
 lab AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY a), labelled AS (SELECT c."row", c.col, label FROM cell c JOIN lab USING (id))"""
@@ -203,7 +204,7 @@ def tile_coords(spark, d):
     return sg.tile_windows(spark, 5608, 5792, 1000)
 
 
-@query(f"""WITH {GRID}, seq AS (SELECT "row" * {N} + col AS i, CASE WHEN v > 80 THEN 1 ELSE 0 END AS v FROM grid), f AS (SELECT i, v, CASE WHEN v = lag(v) OVER (ORDER BY i) AND i = lag(i) OVER (ORDER BY i) + 1 THEN 0 ELSE 1 END AS new FROM seq),
+@query(f"""WITH {GRID}, seq AS (SELECT "row" * {COLS} + col AS i, CASE WHEN v > 80 THEN 1 ELSE 0 END AS v FROM grid), f AS (SELECT i, v, CASE WHEN v = lag(v) OVER (ORDER BY i) AND i = lag(i) OVER (ORDER BY i) + 1 THEN 0 ELSE 1 END AS new FROM seq),
 g AS (SELECT i, v, sum(new) OVER (ORDER BY i) AS run FROM f) SELECT min(i) AS start, count(*) AS length, v AS value FROM g GROUP BY run, v""")
 def rle_encode(spark, d):
     cols = extent(spark, d)[1]
@@ -211,7 +212,7 @@ def rle_encode(spark, d):
     return sg.rle_encode(seq, cols * 10)
 
 
-@query(f'WITH {GRID} SELECT "row" * {N} + col AS i, CASE WHEN v > 80 THEN 1 ELSE 0 END AS v FROM grid')
+@query(f'WITH {GRID} SELECT "row" * {COLS} + col AS i, CASE WHEN v > 80 THEN 1 ELSE 0 END AS v FROM grid')
 def rle_decode(spark, d):
     return sg.rle_decode(rle_encode(spark, d))
 
@@ -232,11 +233,11 @@ def dice_confusion(spark, d):
     return sg.scores(g)
 
 
-@query(f"""WITH {GRID}, v AS (SELECT "row" * ({N} + 1) + col AS id, "row", col, v FROM grid WHERE "row" < 20 AND col < 20), q AS (SELECT * FROM v WHERE "row" < 19 AND col < 19)
-SELECT id * 2 AS fid, id AS a, id + 1 AS b, id + {N + 1} AS c FROM q UNION ALL SELECT id * 2 + 1, id + 1, id + {N + 2}, id + {N + 1} FROM q""")
+@query(f"""WITH {GRID}, w AS (SELECT {COLS} + 1 AS w), q AS (SELECT "row" * w + col AS id, w FROM grid, w)
+SELECT id * 2 AS fid, id AS a, id + 1 AS b, id + w AS c FROM q UNION ALL SELECT id * 2 + 1, id + 1, id + w + 1, id + w FROM q""")
 def grid_mesh(spark, d):
-    g = fx.grid(spark, d).where("row < 19 and col < 19").select((F.col("row") * (N + 1) + F.col("col")).alias("id"))
-    return sg.grid_triangles(g, N + 1)
+    width = extent(spark, d)[1] + 1
+    return sg.grid_triangles(fx.grid(spark, d).select((F.col("row") * width + F.col("col")).alias("id")), width)
 
 
 @query()

@@ -28,10 +28,10 @@ def ndvi_pixel(spark, d):
     return b.select("pid", F.round(sp.ndvi(c("nir"), c("red")), 9).alias("ndvi"), F.round(sp.ndvi_byte(c("nir"), c("red")), 6).alias("ndvi_byte"))
 
 
-@query(f"WITH {B} SELECT pid % 100 AS cell, round(sum((nir - red) / (nir + red)) / 3, 9) AS mean FROM bands WHERE pid % 7 < 3 GROUP BY 1")
+@query(f"WITH {B} SELECT pid % 100 AS cell, round(sum((nir - red) / (nir + red)) / 3, 9) AS mean FROM bands GROUP BY 1")
 def ndvi_mean(spark, d):
     """Mean over three images: the sum of what each has, over their number."""
-    b = fx.bands(spark, d).where("pid % 7 < 3")
+    b = fx.bands(spark, d)
     return b.groupBy((c("pid") % 100).alias("cell")).agg(F.round(F.sum(sp.ndvi(c("nir"), c("red"))) / 3, 9).alias("mean"))
 
 
@@ -268,12 +268,12 @@ def osm_tags(spark, d):
 # neighbours and error model
 
 D2 = "(q.x - a.x) * (q.x - a.x) + (q.y - a.y) * (q.y - a.y) + (q.z - a.z) * (q.z - a.z)"
-KNN = f"{V}, nn AS (SELECT q.id AS qid, a.id AS aid, {D2} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {D2}, a.id) AS r FROM vec q, vec a WHERE q.id < 100 AND a.id >= 100)"
+KNN = f"{V}, nn AS (SELECT q.id AS qid, a.id AS aid, {D2} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {D2}, a.id) AS r FROM vec q, vec a WHERE q.id % 20 = 0)"
 
 
 def knn8(spark, d, k: int) -> DataFrame:
     v = fx.vec(spark, d)
-    return neighbors.knn(v.where("id < 100"), v.where("id >= 100"), k)
+    return neighbors.knn(v.where("id % 20 = 0"), v, k)
 
 
 @query(f"""WITH {KNN}, w AS (SELECT *, exp(-sqrt(d2) / 0.5) / sum(exp(-sqrt(d2) / 0.5)) OVER (PARTITION BY qid) AS w FROM nn WHERE r <= 8) SELECT qid, round(sum(w * v.x * v.x), 6) AS cxx, round(sum(w * v.x * v.y), 6) AS cxy, round(sum(w * v.z), 6) AS mz FROM w JOIN vec v ON v.id = aid GROUP BY 1""")
@@ -284,13 +284,13 @@ def knn_idw_covariance(spark, d):
 
 @query(f"WITH {KNN} SELECT qid, v.label, round(d2, 9) AS d2 FROM nn JOIN vec v ON v.id = aid WHERE r = 1")
 def label_transfer(spark, d):
-    return neighbors.nearest(*(fx.vec(spark, d).where(w) for w in ("id < 100", "id >= 100"))).join(fx.vec(spark, d).select(c("id").alias("aid"), "label"), "aid").select("qid", "label", F.round("d2", 9).alias("d2"))
+    return neighbors.nearest(fx.vec(spark, d).where("id % 20 = 0"), fx.vec(spark, d)).join(fx.vec(spark, d).select(c("id").alias("aid"), "label"), "aid").select("qid", "label", F.round("d2", 9).alias("d2"))
 
 
 @query(f"WITH {KNN} SELECT qid, aid, r AS rank FROM nn WHERE r <= 3")
 def three_nn_grid(spark, d):
     v = fx.vec(spark, d)
-    return neighbors.knn_grid(v.where("id < 100"), v.where("id >= 100"), 3).select("qid", "aid", c("rank").cast("long").alias("rank"))
+    return neighbors.knn_grid(v.where("id % 20 = 0"), v, 3).select("qid", "aid", c("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {KNN}, w AS (SELECT *, (1 / greatest(d2, 1e-10)) / sum(1 / greatest(d2, 1e-10)) OVER (PARTITION BY qid) AS w FROM nn WHERE r <= 3) SELECT qid, round(sum(w * v.x), 6) AS fx, round(sum(w * v.label), 6) AS fl FROM w JOIN vec v ON v.id = aid GROUP BY 1")
@@ -371,11 +371,11 @@ def fold_assign(spark, d):
 
 # rings, meshes, fits
 
-RING = "ring AS (SELECT c_nationkey AS id, list(struct_pack(x := (c_custkey % 97)::DOUBLE, y := c_acctbal / 100) ORDER BY c_custkey) AS r FROM customer WHERE c_custkey < 300 GROUP BY 1 HAVING count(*) >= 3)"
+RING = "ring AS (SELECT c_nationkey AS id, list(struct_pack(x := (c_custkey % 97)::DOUBLE, y := c_acctbal / 100) ORDER BY c_custkey) AS r FROM customer GROUP BY 1 HAVING count(*) >= 3)"
 
 
-def rings(spark, d, of: str = "c_custkey < 300") -> DataFrame:
-    k = table(spark, d, "customer").where(of)
+def rings(spark, d) -> DataFrame:
+    k = table(spark, d, "customer")
     p = F.sort_array(F.collect_list(F.struct("c_custkey", (c("c_custkey") % 97).cast("double").alias("x"), (c("c_acctbal") / 100).alias("y"))))
     r = k.groupBy(c("c_nationkey").alias("id")).agg(p.alias("p")).where(F.size("p") >= 3)
     return r.select("id", F.transform("p", lambda q: F.struct(q.x.alias("x"), q.y.alias("y"))).alias("r"))
@@ -402,8 +402,10 @@ def bbox_center_kw18(spark, d):
 def point_in_polygon(spark, d):
     q = table(spark, d, "supplier").select(c("s_suppkey").alias("pid"), ((c("s_suppkey") % 97).cast("double") + 0.25).alias("x"), (F.abs("s_acctbal") / 150).alias("y"))
     x0, y0, x1, y1 = geo.ring_bounds(c("r"))
-    # rings are few; their boxes prune before the ring itself is tested
-    hit = q.join(F.broadcast(rings(spark, d)), c("x").between(x0, x1) & c("y").between(y0, y1) & geo.ring_contains(c("r"), c("x"), c("y")))
+    # rings meet points in the unit columns that they span; their boxes prune before the ring itself is tested
+    r = rings(spark, d).withColumn("column", F.explode(F.sequence(F.floor(x0), F.floor(x1))))
+    near = q.withColumn("column", F.floor("x")).join(r, "column")
+    hit = near.where(c("x").between(x0, x1) & c("y").between(y0, y1) & geo.ring_contains(c("r"), c("x"), c("y")))
     return hit.groupBy("pid").agg(F.min("id").alias("first_ring"), F.count(F.lit(1)).alias("n"))
 
 
@@ -435,17 +437,17 @@ def poly2_fit(spark, d):
     return rounded(fitting.quadratic(p, "g"), "c0", "c1", "c2")
 
 
-@query("""WITH RECURSIVE x AS (SELECT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_orderkey < 400 AND l_linenumber = 1), e AS (SELECT DISTINCT a.s AS a, b.s AS b FROM x a JOIN x b ON a.o = b.o AND a.s <> b.s),
+@query("""WITH RECURSIVE x AS (SELECT l_orderkey AS o, l_suppkey AS s FROM lineitem), e AS (SELECT DISTINCT a.s AS a, b.s AS b FROM x a JOIN x b ON a.o = b.o AND a.s <> b.s),
 r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS component FROM r GROUP BY 1""")
 def shared_vertex_components(spark, d):
     """Faces (suppliers) that share a vertex (order) are one part."""
-    x = table(spark, d, "lineitem").where("l_orderkey < 400 and l_linenumber = 1").select(c("l_orderkey").alias("vertex"), c("l_suppkey").alias("face"))
+    x = table(spark, d, "lineitem").select(c("l_orderkey").alias("vertex"), c("l_suppkey").alias("face"))
     return fitting.face_components(x)
 
 
 @query()
 def min_area_rectangles(spark, d):
-    return fitting.min_area_rectangles(rings(spark, d, of="true"))
+    return fitting.min_area_rectangles(rings(spark, d))
 
 
 @query()
