@@ -14,8 +14,9 @@ task holds a conversation of unbounded length. A repaired turn whose merged text
 out in pieces, so that no text is unbounded either.
 
 Nulls: a null or unknown role is relabelled at low cost, a null text is empty, a null turn sorts last,
-rows with a null conv_id form one conversation. Ties in turn sort by role, then text; repeated rows
-are turns like others. An empty table gives no rows. Further columns are ignored.
+rows with a null conv_id form one conversation. Ties in turn sort by role, then a hash of the text,
+then the text; repeated rows are turns like others. Very long texts stay whole. An empty table gives no
+rows. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

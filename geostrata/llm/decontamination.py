@@ -8,10 +8,12 @@ mask hits every such window: for any two substitutions among 13 words it still f
 (``tests/llm`` verifies this over all pairs), so nothing is lost against a brute-force search.
 
 Items of fewer than 13 words must agree in all words; those shorter than a mask get a contiguous mask
-of their own length. The items' seeds are broadcast after their number is checked; beyond the bound
-the seeds are joined by a shuffle and the hits are verified after a second join.
+of their own length. The items' seeds, each with its item's words, are broadcast after their bytes are
+summed; beyond the bound the seeds are joined by a shuffle and the hits are verified after a second join.
 
-Nulls and texts without words: never a hit. Repeated rows each count. Empty tables: no rows.
+Nulls and texts without words: never a hit. Null ids are ids like others. Repeated rows: one row for a pair
+of ids, with the best window. Very long texts: every position has its seed. Empty tables: no rows. Other
+columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 MASKS = ((0, 1, 3, 6, 7),)
 WINDOW, LEAST = 13, 11
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_BROADCAST_SEEDS = 2_000_000
+#: Bytes of the seeds' rows, each with its item's words, up to which they are broadcast.
+MAX_BROADCAST_BYTES = 64_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -63,11 +66,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     wanted = at_all(items.drop("n_item"), "item", "item_at")
     found = at_all(texts, "doc", "doc_at")
-    if wanted.count() <= MAX_BROADCAST_SEEDS:
+    size = wanted.agg(F.sum(F.size("item") * 8 + 64)).first()[0] or 0
+    if size <= MAX_BROADCAST_BYTES:
         hits = found.join(F.broadcast(wanted), ["mask", "seed"]).withColumn("start", F.col("doc_at") - F.col("item_at"))
     else:
         at = found.drop("doc").join(wanted.drop("item"), ["mask", "seed"]).select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("start")).distinct()
-        hits = at.join(items.select("item_id", "item"), "item_id").join(texts, "doc_id")
+        hits = at.join(items.select("item_id", "item"), "item_id").join(texts.withColumnRenamed("doc_id", "same_id"), F.col("doc_id").eqNullSafe(F.col("same_id"))).drop("same_id")
     judged = hits.withColumn("n_equal", best_window(F.col("doc"), F.col("item"), F.col("start")))
     enough = F.col("n_equal") >= F.when(F.size("item") >= WINDOW, F.lit(LEAST)).otherwise(F.size("item"))
     return judged.where(enough).groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"))

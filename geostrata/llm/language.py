@@ -13,7 +13,9 @@ predicted language won.
 
 Families of common languages are fixed values; a language outside them joins the family of the
 language whose mean features are nearest. Text without a letter, or null, is ``und`` with score 0.
-If no labelled text exists, every text is ``und``. Repeated rows each give a row; empty tables none.
+If no labelled text exists, every text is ``und``. Very long texts are read whole. Null ids are never
+learned from. Repeated rows each give a row; empty tables none. Columns that have the names of the results
+are replaced by them; other names can be given.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import FOLD, chunks, utf8
+from geostrata.llm.columns import fresh
 
 #: Families by language code.
 FAMILIES = {
@@ -174,22 +177,22 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     return Model(got.lang.to_numpy(str), np.stack([np.frombuffer(v, np.float32) for v in got.x])) if len(got) else None
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Add lang_pred and score to docs (all columns kept; text is read)."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    ready = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + ", lang_pred string, score double"
+def identify(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the predicted language and its score, under these names, to docs (all other columns kept; text is read)."""
+    told, names = names, [c for c in docs.columns if c not in names]
+    ready = docs.select(*names, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(fresh(docs, "letters")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + f", `{told[0]}` string, `{told[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column("text"))
             lang, score = np.full(len(b), "und", object), np.zeros(len(b))
-            letters = b.column("__letters").to_numpy(zero_copy_only=False)
+            letters = b.column(len(names)).to_numpy(zero_copy_only=False)
             if model is not None:
                 for lo, hi, part, o in chunks(data, off):
                     lang[lo:hi], score[lo:hi] = model.predict(part, o)
             lang[~letters], score[~letters] = "und", 0.0
             cols = [b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], [*names, *told])
 
     return ready.mapInArrow(run, schema)

@@ -13,7 +13,8 @@ wanted words run out. So no task ever holds the documents of a source, and a hot
 rows cost. Documents in the last bucket that fits only in part are taken in part.
 
 Nulls: a null text has size 0; a null source is a source of its own, after all others. Documents with
-size 0 take 0 words. Repeated rows each count. An empty table gives an empty result. Columns of the
+size 0 take 0 words. Repeated rows each count. Very long texts are counted whole. An empty table gives an
+empty result. Columns of the
 input beyond the id, text and source aren't read.
 """
 

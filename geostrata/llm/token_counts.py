@@ -15,7 +15,8 @@ later cuts are the same. One block of context before the edit covers runs that a
 Edits of a document apply in the order of ``seq``; positions count characters of the text as it is at
 that time and are clipped to it. Counts per distinct pre-token are remembered in a bounded table. A null
 text counts 0 tokens and edits apply to an empty text; null replacements are empty; edits without a
-document are ignored; repeated documents each get all their edits. Empty tables give no rows.
+document are ignored; repeated documents each get all their edits. Very long texts have deeper trees. Empty
+tables give no rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations

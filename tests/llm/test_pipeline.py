@@ -1,5 +1,7 @@
 """The stages on one small folder: columns, effects of decisions, agreement of run() with the stages."""
 
+import numpy as np
+
 import corpus_pipeline
 from geostrata.llm import decontamination, ngram_join
 from geostrata.session import materialize, table
@@ -26,3 +28,23 @@ def test_stages(spark):
     assert decontamination.leaks(docs, table(spark, DIR, "benchmark")).count() == 0
     assert out.count() == docs.count() and set(out.columns) >= {"doc_id", "size", "target", "taken"}
     assert seen[0] > seen[-1]
+
+
+def test_odd_rows_of_each_stage(spark):
+    """Null ids, repeated ids with other texts, clashing column names, an empty table."""
+    long = " the quick brown fox and the lazy dog are in the old house by the river with all the others "
+    word = lambda n: "w" + "".join(chr(97 + int(d)) for d in str(n))
+    text = lambda k: " ".join(word(x) for x in np.random.default_rng(k).integers(0, 99_999, 60)) + long + word(k)
+    rows = [(k, text(k), "en", "s", 10, "mine", 0.25) for k in range(40)]
+    rows += [(5, text(5), "en", "s", 10, "mine", 0.25), (6, text(900), "en", "s", 10, "mine", 0.25), (None, text(5), "en", "s", 10, "mine", 0.25), (77, text(7), "en", "s", 10, "mine", 0.25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, lang_pred string, score double")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = materialize(stage(spark, docs, DIR), "test")
+        assert out.columns == docs.columns and {(r.lang_pred, r.score) for r in out.collect()} == {("mine", 0.25)}
+        assert out.where("doc_id is null").count() == 1
+        if k == 2:
+            assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == list(range(40))
+        else:
+            assert out.count() == len(rows)
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == len(rows)
