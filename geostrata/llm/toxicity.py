@@ -1,20 +1,24 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Every word is an input of four numbers: how much more often documents with the word are toxic (word
-input, by hashed word), the mean and the maximum of the same over the word's character triples
-(character input, by hashed triple), and its length. The network reads windows of 32 words in both
-directions; attention pools the states of a window to its logit. All overlapping windows (a new one
-every 24 words, the last one flush with the end) of the whole text are scored, and the largest logit,
-calibrated, is the text's.
-
-Fitting uses at most ``per_class`` labelled documents of each class, chosen by hash. Executors count
-their words and triples in fixed tables, pick from each document the window that the counts suspect
-most and one other, and the driver trains the network on those by back-propagation (Adam). A logistic
-fit of the sampled documents' largest logits, weighted to the true class shares, calibrates scores.
-
-Nulls and texts without words: one window without words, scored like others. Rows whose label is null
-aren't learned from. Without labels of both classes every score is the share of toxic ones (0 without
-any). Repeated rows each give a row. Empty tables give none. Further columns are ignored.
+Every word is an input with a word part and a character part. Both have learned embeddings, trained with the
+network by back-propagation: one by hashed word, and the mean of those of the word's hashed character triples.
+Beside them stand four counted numbers: how much more often documents with the word are toxic, the mean and
+the maximum of the same over the word's triples, and its length. The network reads windows of 32 words in both
+directions; attention pools the states of a window to its logit. All overlapping windows (a new one every 16
+words, the last one flush with the end, so a phrase of up to 17 words is whole in one) of the whole text are
+scored, and the largest logit, calibrated, is the text's.
+
+Fitting uses at most ``per_class`` labelled documents of each class, chosen by hash, in two halves. Executors
+count their words and triples in fixed tables by half; a document's counted numbers come from the other half
+while the network learns and is calibrated, and from both when it scores. Executors pick from each document
+the window with the largest such odds among all its windows, and of clean documents one other, and the driver
+trains the network on those (Adam). A logistic fit of the sampled documents' largest logits, weighted to the
+true class shares, calibrates scores.
+
+Nulls and texts without words: one window without words, scored like others. Very long texts: all windows.
+Rows whose label is null aren't learned from. Without labels of both classes every score is the share of
+toxic ones (0 without any). Repeated rows each give a row. Empty tables give none. Further columns, whatever
+their names, aren't read.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import Words, chunks, utf8
 
-#: Hashed words and triples, words of a window, step between windows, inputs, states of each direction.
-WORD_SLOTS, TRIPLE_SLOTS, WINDOW, STEP, INPUTS, STATES, PER_CLASS = 1 << 16, 1 << 14, 32, 24, 4, 6, 3000
+#: Hashed words and triples, words of a window, step between windows, states of each direction, sampled documents of a class.
+WORD_SLOTS, TRIPLE_SLOTS, WINDOW, STEP, STATES, PER_CLASS = 1 << 16, 1 << 14, 32, 16, 6, 3000
+#: Counted numbers and numbers of each embedding of a word.
+COUNTED, EMBEDDED = 4, 4
+INPUTS = COUNTED + 2 * EMBEDDED
 WINDOWS_AT_ONCE, RARE = 4096, 6
 
 
@@ -66,42 +73,41 @@ def clipped_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean:
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, toxic documents, clean documents): words first, then triples, then all documents."""
-    total = np.zeros((2, WORD_SLOTS + TRIPLE_SLOTS + 1), np.int64)
+    """(half, slot, toxic documents, clean documents): words first, then triples, then all documents."""
+    total = np.zeros((2, 2, WORD_SLOTS + TRIPLE_SLOTS + 1), np.int64)
     for b in batches:
         data, off = utf8(b.column("text"))
-        label = b.column("toxic").to_numpy()
+        label, half = b.column("toxic").to_numpy(), b.column("half").to_numpy()
         for lo, hi, part, o in chunks(data, off):
             t = Tokens(part, o)
-            triples_of = np.repeat(np.arange(len(t.length)), t.length)
             for k in range(hi - lo):
                 own = np.unique(t.which[t.first[k] : t.first[k + 1]])
-                side = total[0 if label[lo + k] else 1]
+                side = total[half[lo + k], 0 if label[lo + k] else 1]
                 side[np.unique(t.slot[own])] += 1
                 if len(own):
                     at = np.concatenate([np.arange(t.begin[i], t.begin[i] + t.length[i]) for i in own])
                     side[WORD_SLOTS + np.unique(t.triple[at])] += 1
                 side[-1] += 1
-            del triples_of
-    at = np.flatnonzero(total.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["slot", "toxic", "clean"])
+    for h in (0, 1):
+        at = np.flatnonzero(total[h].sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h)), pa.array(at), pa.array(total[h, 0, at]), pa.array(total[h, 1, at])], ["half", "slot", "toxic", "clean"])
 
 
-class Inputs:
-    """Tables of log odds by slot; turns words into network inputs."""
+class Counted:
+    """Tables of log odds by slot; gives the counted numbers of words."""
 
-    def __init__(self, words: np.ndarray, triples: np.ndarray) -> None:
-        self.words, self.triples = words, triples
+    def __init__(self, counts: np.ndarray) -> None:
+        odds = clipped_odds(counts[0], counts[1], *counts[:, -1])
+        self.words, self.triples = odds[:WORD_SLOTS], odds[WORD_SLOTS:-1]
 
     def of(self, t: Tokens) -> np.ndarray:
-        """Inputs of the distinct words, then a row of zeros for padding."""
-        out = np.zeros((len(t.slot) + 1, INPUTS), np.float32)
+        out = np.zeros((len(t.slot), COUNTED), np.float32)
         if len(t.slot):
             x = self.triples[t.triple]
-            out[:-1, 0] = self.words[t.slot]
-            out[:-1, 1] = np.add.reduceat(x, t.begin) / t.length
-            out[:-1, 2] = np.maximum.reduceat(x, t.begin)
-            out[:-1, 3] = np.minimum(t.length, 30) / 10
+            out[:, 0] = self.words[t.slot]
+            out[:, 1] = np.add.reduceat(x, t.begin) / t.length
+            out[:, 2] = np.maximum.reduceat(x, t.begin)
+            out[:, 3] = np.minimum(t.length, 30) / 10
         return out
 
 
@@ -140,6 +146,18 @@ class Network:
         self.p["u"] = r.normal(0, 0.3, 2 * h).astype(np.float32)
         self.p["w"] = r.normal(0, 0.3, 2 * h).astype(np.float32)
         self.p["o"] = np.zeros(1, np.float32)
+        self.words, self.triples = (r.normal(0, 0.1, (n, EMBEDDED)).astype(np.float32) for n in (WORD_SLOTS, TRIPLE_SLOTS))
+
+    def inputs(self, counted: np.ndarray, slot: np.ndarray, triple: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Inputs of words, then a row of zeros for padding. triple: of all words in turn, length of them each (0: no word)."""
+        out = np.zeros((len(slot) + 1, INPUTS), np.float32)
+        out[:-1, :COUNTED] = counted
+        some = np.flatnonzero(length)
+        if len(some):
+            out[some, COUNTED : COUNTED + EMBEDDED] = self.words[slot[some]]
+            begin = (np.cumsum(length) - length)[some]
+            out[some, COUNTED + EMBEDDED :] = np.add.reduceat(self.triples[triple], begin) / length[some, None]
+        return out
 
     def run(self, inputs: np.ndarray, idx: np.ndarray, keep: bool = False):
         """Logits of windows; inputs: rows for word numbers, the last for padding; keep: what backward() needs."""
@@ -177,8 +195,8 @@ class Network:
         logit = pooled @ p["w"] + p["o"][0]
         return (logit, states, a, pooled, pad, kept) if keep else logit
 
-    def backward(self, inputs: np.ndarray, idx: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean cross-entropy."""
+    def backward(self, inputs: np.ndarray, idx: np.ndarray, y: np.ndarray, of_inputs: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Gradients of the mean cross-entropy; of_inputs (windows, places, inputs) gets those of the inputs added."""
         p, h, n = self.p, STATES, len(idx)
         logit, states, a, pooled, pad, kept = self.run(inputs, idx, True)
         d = (sigmoid(logit) - y) / n
@@ -201,36 +219,68 @@ class Network:
                 dx = np.concatenate([drz, dc], axis=1)
                 x = inputs[idx[:, t]]
                 g[f"x{way}"] += x.T @ dx
+                if of_inputs is not None:
+                    of_inputs[:, t] += dx @ p[f"x{way}"].T
                 g[f"c{way}"] += dx.sum(axis=0)
                 g[f"h{way}"][:, : 2 * h] += s.T @ drz
                 g[f"h{way}"][:, 2 * h :] += s.T @ (dc * r)
                 carry = np.where(live, ds * z + drz @ wz.T + (dc * r) @ wn.T, ds)
         return g
 
-    def train(self, inputs: np.ndarray, idx: np.ndarray, y: np.ndarray, rounds: int = 8, batch: int = 128, rate: float = 0.01) -> None:
+    def train(self, data: Training, y: np.ndarray, rounds: int = 8, batch: int = 128, rate: float = 0.01) -> None:
+        """Adam on the network and on the embeddings of the batch's words and triples."""
         r, m, v, t = np.random.default_rng(2), {}, {}, 0
         total = rounds * -(-len(y) // batch)
+        params = self.p | {"words": self.words, "triples": self.triples}
         for _ in range(rounds):
             order = r.permutation(len(y))
             for at in range(0, len(y), batch):
                 k, t = order[at : at + batch], t + 1
-                for name, grad in self.backward(inputs, idx[k], y[k]).items():
-                    m[name] = 0.9 * m.get(name, 0) + 0.1 * grad
-                    v[name] = 0.99 * v.get(name, 0) + 0.01 * grad**2
-                    step = rate * (1 - t / (total + 1)) * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)
-                    self.p[name] = (self.p[name] - step).astype(np.float32)
+                counted, slot, triple, length = data.rows(k)
+                inputs = self.inputs(counted, slot, triple, length)
+                idx = np.arange(len(slot)).reshape(len(k), WINDOW)
+                idx[data.short[k]] = len(slot)
+                dx = np.zeros((len(k), WINDOW, INPUTS), np.float32)
+                grads = self.backward(inputs, idx, y[k], dx)
+                dx[data.short[k]] = 0
+                dx = dx.reshape(-1, INPUTS)
+                grads["words"], grads["triples"] = np.zeros_like(self.words), np.zeros_like(self.triples)
+                some = np.flatnonzero(length)
+                np.add.at(grads["words"], slot[some], dx[some, COUNTED : COUNTED + EMBEDDED])
+                np.add.at(grads["triples"], triple, np.repeat(dx[some, COUNTED + EMBEDDED :] / length[some, None], length[some], axis=0))
+                for name, grad in grads.items():
+                    if name not in m:
+                        m[name], v[name] = np.zeros_like(grad), np.zeros_like(grad)
+                    m[name] += 0.1 * (grad - m[name])
+                    v[name] += 0.01 * (grad**2 - v[name])
+                    params[name] -= (rate * (1 - t / (total + 1)) / (1 - 0.9**t) * m[name] / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+
+class Training:
+    """Windows that the network learns from: counted numbers, slots and triples of their words."""
+
+    def __init__(self, counted: list[bytes], slots: list[bytes], triples: list[bytes], lengths: list[bytes]) -> None:
+        self.counted = np.stack([np.frombuffer(x, np.float32).reshape(WINDOW, COUNTED) for x in counted])
+        self.slots = np.stack([np.frombuffer(x, np.int32) for x in slots])
+        self.lengths = np.stack([np.frombuffer(x, np.int32) for x in lengths])
+        self.triples = [np.frombuffer(x, np.int32) for x in triples]
+        self.short = self.lengths == 0
+        self.short[:, 0] = False
+
+    def rows(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return self.counted[k].reshape(-1, COUNTED), self.slots[k].ravel(), np.concatenate([self.triples[i] for i in k]), self.lengths[k].ravel()
 
 
 class Model:
-    """Inputs, network and calibration."""
+    """Counted odds, network and calibration."""
 
-    def __init__(self, inputs: Inputs) -> None:
-        self.inputs, self.network, self.slope, self.offset = inputs, Network(), 1.0, 0.0
+    def __init__(self, counted: Counted) -> None:
+        self.counted, self.network, self.slope, self.offset = counted, Network(), 1.0, 0.0
 
-    def largest(self, part: np.ndarray, o: np.ndarray) -> np.ndarray:
+    def largest(self, part: np.ndarray, o: np.ndarray, counted: Counted | None = None) -> np.ndarray:
         """The largest logit over each text's windows."""
         t = Tokens(part, o)
-        rows = self.inputs.of(t)
+        rows = self.network.inputs((counted or self.counted).of(t), t.slot, t.triple, t.length)
         text, begin, size = windows(t.count, t.first[:-1])
         logit = np.empty(len(text))
         for at in range(0, len(text), WINDOWS_AT_ONCE):
@@ -252,41 +302,59 @@ class Model:
         self.slope, self.offset = float(b[0]), float(b[1])
 
 
-def suspects(inputs: Inputs):
-    """For mapInArrow: from each text the window with the largest word odds, and one other; inputs of their words."""
+PICKED = ["counted", "slots", "triples", "lengths", "y"]
+
+
+def suspects(halves: list[Counted]):
+    """For mapInArrow: from each text the window with the largest word odds of the other half, and of a clean text one other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column("text"))
-            label = b.column("toxic").to_numpy()
-            xs, ys, sizes = [], [], []
+            label, half = b.column("toxic").to_numpy(), b.column("half").to_numpy()
+            out: list[list] = [[] for _ in PICKED]
             for lo, hi, part, o in chunks(data, off):
                 t = Tokens(part, o)
-                rows = inputs.of(t)
                 text, begin, size = windows(t.count, t.first[:-1])
-                start = np.searchsorted(text, np.arange(hi - lo + 1))
+                start, pad = np.searchsorted(text, np.arange(hi - lo + 1)), len(t.slot)
+                counted = [np.vstack([c.of(t), np.zeros((1, COUNTED), np.float32)]) for c in halves]
+                best = np.empty((2, len(text)), np.float32)
+                for at in range(0, len(text), WINDOWS_AT_ONCE):
+                    k = slice(at, at + WINDOWS_AT_ONCE)
+                    idx = gather(t.which, begin[k], size[k], pad)
+                    best[:, k] = [c[idx, 0].max(axis=1) for c in counted]
                 for k in range(hi - lo):
-                    at = np.arange(start[k], start[k + 1])
-                    if len(at) > 4096:
-                        at = at[:: len(at) // 4096 + 1] if not label[lo + k] else at
-                    best = max(range(len(at)), key=lambda i: float(rows[gather(t.which, begin[at[i : i + 1]], size[at[i : i + 1]], len(rows) - 1)[0], 0].max()))
-                    chosen = [at[best]] if label[lo + k] or len(at) == 1 else [at[best], at[(best + 1 + k % (len(at) - 1)) % len(at)]]
+                    other = 1 - half[lo + k]
+                    n = start[k + 1] - start[k]
+                    top = int(best[other, start[k] : start[k + 1]].argmax())
+                    chosen = [top] if label[lo + k] or n == 1 else [top, (top + 1 + k % (n - 1)) % n]
                     for c in chosen:
-                        idx = gather(t.which, begin[c : c + 1], size[c : c + 1], len(rows) - 1)[0]
-                        xs.append(rows[idx].tobytes())
-                        ys.append(int(label[lo + k]))
-                        sizes.append(int(size[c]))
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.int32()), pa.array(sizes, pa.int32())], ["x", "y", "size"])
+                        w = start[k] + c
+                        idx = gather(t.which, begin[w : w + 1], size[w : w + 1], pad)[0]
+                        real = idx[idx < pad]
+                        lengths = np.zeros(WINDOW, np.int32)
+                        lengths[: len(real)] = t.length[real]
+                        slots = np.zeros(WINDOW, np.int32)
+                        slots[: len(real)] = t.slot[real]
+                        triples = np.concatenate([t.triple[t.begin[i] : t.begin[i] + t.length[i]] for i in real]) if len(real) else np.empty(0)
+                        for o_, v in zip(out, (counted[other][idx].tobytes(), slots.tobytes(), triples.astype(np.int32).tobytes(), lengths.tobytes(), int(label[lo + k]))):
+                            o_.append(v)
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.binary()) for v in out[:4]], pa.array(out[4], pa.int32())], PICKED)
 
     return run
 
 
-def sampled_logits(model: Model):
+def sampled_logits(model: Model, halves: list[Counted]):
+    """For mapInArrow: the largest logit of each text by the counts of the other half, and its label."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b.column("text"))
-            out = [model.largest(part, o) for _, _, part, o in chunks(data, off)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.empty(0)), b.column("toxic")], ["logit", "toxic"])
+            half = b.column("half").to_numpy()
+            for h in (0, 1):
+                rows = b.filter(pa.array(half == h))
+                data, off = utf8(rows.column("text"))
+                out = [model.largest(part, o, halves[1 - h]) for _, _, part, o in chunks(data, off)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.empty(0)), rows.column("toxic")], ["logit", "toxic"])
 
     return run
 
@@ -299,24 +367,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         return counts.get(1, 0) / max(1, sum(counts.values()))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
     some = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000)) < share * 1_000_000)
+    some = some.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int"))
     # about 2 x per_class ids at most, so broadcast
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic")
-    got = texts.mapInArrow(count_features, "slot long, toxic long, clean long").groupBy("slot").agg(F.sum("toxic"), F.sum("clean")).collect()
-    table = np.zeros((2, WORD_SLOTS + TRIPLE_SLOTS + 1))
-    for slot, toxic, clean in got:
-        table[:, slot] = toxic, clean
-    n_toxic, n_clean = table[:, -1]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic", "half")
+    got = texts.mapInArrow(count_features, "half long, slot long, toxic long, clean long").groupBy("half", "slot").agg(F.sum("toxic"), F.sum("clean")).collect()
+    table = np.zeros((2, 2, WORD_SLOTS + TRIPLE_SLOTS + 1))
+    for half, slot, toxic, clean in got:
+        table[half, :, slot] = toxic, clean
+    n_toxic, n_clean = table.sum(axis=0)[:, -1]
     if not (n_toxic and n_clean):
         return counts[1] / (counts[0] + counts[1])
-    odds = clipped_odds(table[0], table[1], n_toxic, n_clean)
-    model = Model(Inputs(odds[:WORD_SLOTS], odds[WORD_SLOTS:-1]))
-    picked = texts.mapInArrow(suspects(model.inputs), "x binary, y int, size int").toPandas().sort_values(["y", "x"])
-    x = np.stack([np.frombuffer(v, np.float32).reshape(WINDOW, INPUTS) for v in picked.x])
-    short = np.arange(WINDOW) >= picked["size"].to_numpy()[:, None]
-    flat = np.concatenate([x.reshape(-1, INPUTS), np.zeros((1, INPUTS), np.float32)])
-    idx = np.where(short, len(flat) - 1, np.arange(len(flat) - 1).reshape(len(x), WINDOW))
-    model.network.train(flat, idx, picked.y.to_numpy(np.float32))
-    logits = texts.mapInArrow(sampled_logits(model), "logit double, toxic int").toPandas().sort_values(["toxic", "logit"])
+    model, halves = Model(Counted(table.sum(axis=0))), [Counted(table[0]), Counted(table[1])]
+    picked = texts.mapInArrow(suspects(halves), "counted binary, slots binary, triples binary, lengths binary, y int").toPandas().sort_values(["y", "slots", "counted"])
+    model.network.train(Training(*[picked[c].tolist() for c in PICKED[:4]]), picked.y.to_numpy(np.float32))
+    logits = texts.mapInArrow(sampled_logits(model, halves), "logit double, toxic int").toPandas().sort_values(["toxic", "logit"])
     y = logits.toxic.to_numpy(float)
     model.calibrate(logits.logit.to_numpy(), y, np.where(y == 1, counts[1] / n_toxic, counts[0] / n_clean))
     return model
