@@ -52,7 +52,7 @@ def test_leaks_against_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.n_equal for r in decontamination.leaks(df, bench).collect()}
     assert got == brute_leaks(texts, items)
     assert (3, 1) not in got and (2, 1) in got
-    old, decontamination.MAX_BROADCAST_BYTES = decontamination.MAX_BROADCAST_SEEDS, 0
+    old, decontamination.MAX_BROADCAST_BYTES = decontamination.MAX_BROADCAST_BYTES, 0
     try:
         assert {(r.doc_id, r.item_id): r.n_equal for r in decontamination.leaks(df, bench).collect()} == got
     finally:
