@@ -1,4 +1,4 @@
-"""Meshes as text: PLY and OBJ readers and writers, offset headers, roof comments."""
+"""Meshes as text: PLY and OBJ readers and writers, offset headers."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Image metadata text: calibration files and camera text with checked exponents."""
+"""Image metadata text: calibration files and region text."""
 
 from __future__ import annotations
 
