@@ -71,6 +71,22 @@ def test_templates(spark):
     assert line_templates.drop_recurring(docs(spark, []).limit(0)).count() == 0
 
 
+def test_passages_in_longer_lines(spark):
+    passage = " ".join(f"Word{k} of sentence {k} stands {'x' * (i % 3)} here and is meant." for i, k in enumerate("abcdefghij"))
+    own = lambda k: " ".join(f"Only {k} has {i * 7} such {'yz' * i} words{k} in its own{i} line." for i in range(8))
+    rows = [(i, f"{own(f'doc{i}a')} {passage} {own(f'doc{i}b')}\nlast {'abcde'[i]}", "s") for i in range(1, 5)]
+    rows = [(i, t.replace("doc", "abcde"[i]), s) for i, t, s in rows] + [(9, " ".join(["one"] * 5000), "s"), (10, "." * 400, "s")]
+    got = {r.doc_id: r for r in line_templates.drop_recurring(docs(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[1].n_cut == 0
+    for i, t, _ in rows[1:4]:
+        text = got[i].text
+        assert got[i].n_cut > 0 and got[i].n_dropped == 0 and text.endswith(f"\nlast {'abcde'[i]}")
+        lost = len(t.split()) - len(text.split())
+        assert 0.6 * len(passage.split()) <= lost <= len(passage.split())
+        assert all(w in text.split() for w in own(f"doc{i}a".replace("doc", "abcde"[i])).split()[:40])
+    assert got[9].text == rows[4][1] and got[10].text == rows[5][1]
+
+
 def plain_fill(sizes, weights, budget, cap):
     target, total = {}, budget * sum(sizes.values())
     open_ = set(sizes)
