@@ -29,14 +29,15 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates, n_chars anew. A document that loses all its lines goes.
+    """Documents without lines and pieces of recurring templates, n_chars anew. A document that loses all its words goes.
 
     A null text passes; rows with a null id keep their lines; rows that repeat an id are documents of their own.
     """
     out = line_templates.clean(docs)
     blank = F.trim(F.translate("text", "\t\n\r\f\x0b", "     ")) == ""
-    out = out.where((F.col("__n_dropped") == 0) | ~blank)
-    return out.withColumn("n_chars", F.when(F.col("__n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    same = F.col("__n_dropped") + F.col("__n_cut") == 0
+    out = out.where(same | ~blank)
+    return out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
