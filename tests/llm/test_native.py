@@ -1,8 +1,10 @@
 """Line templates, decontamination and mixing: SQL twins, brute force and odd inputs."""
 
 import itertools
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from geostrata.llm import decontamination, line_templates, mixing, queries
 from tests.harness import compare
@@ -71,6 +73,13 @@ def test_templates(spark):
     assert line_templates.drop_recurring(docs(spark, []).limit(0)).count() == 0
 
 
+def test_words_split_by_single_spaces_or_by_the_pattern(spark):
+    lines = ["", " ", "a", "a b", "a  b", " a b", "a b ", "a\tb c", "a\x0bb", "a\fb c", "a b\r", "a\u00a0b c", "\u00e9 \u4e2d\u6587 \U0001f600"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", line_templates.words(F.col("x")).alias("w"))
+    for r in df.collect():
+        assert r.w == re.findall(line_templates.WORD, r.x)
+
+
 def test_passages_in_longer_lines(spark):
     passage = " ".join(f"Word{k} of sentence {k} stands {'x' * (i % 3)} here and is meant." for i, k in enumerate("abcdefghij"))
     own = lambda k: " ".join(f"Only {k} has {i * 7} such {'yz' * i} words{k} in its own{i} line." for i in range(8))
