@@ -28,7 +28,7 @@ def plain(v):
         return tuple(plain(x) for x in v)
     if isinstance(v, dict):
         return tuple(sorted((k, plain(x)) for k, x in v.items()))
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, float):
         return float(f"{v:.9g}") + 0.0
