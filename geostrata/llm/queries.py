@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, decontamination, language, line_templates, lm_scoring, media, mixing, ngram_join, token_counts, toxicity
+from geostrata.llm import chat, decontamination, fill_middle, language, line_templates, lm_scoring, media, mixing, ngram_join, token_counts, toxicity
 from geostrata.session import table
 
 #: Folder of the public vocabularies.
@@ -67,6 +67,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents after the fill-in-middle transformation, and of the texts rebuilt from it."""
+    return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_line_templates": op2_line_templates,
@@ -78,10 +83,12 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_repair": op10_chat_repair,
+    "op11_fill_middle": op11_fill_middle,
 }
 SQL = {
     "op1_ngram_join": ngram_join.components_sql(),
     "op2_line_templates": line_templates.drop_recurring_sql(),
     "op5_decontamination": decontamination.leaks_sql(),
     "op9_source_mixing": mixing.mix_sql(),
+    "op11_fill_middle": fill_middle.digests_sql(),
 }
