@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, decontamination, fill_middle, language, line_templates, lm_scoring, media, mixing, ngram_join, token_counts, token_files, toxicity
+from geostrata.llm import chat, decontamination, fill_middle, hard_negatives, language, line_templates, lm_scoring, media, mixing, ngram_join, token_counts, token_files, toxicity
 from geostrata.session import table
 
 #: Folder of the public vocabularies.
@@ -72,6 +72,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.transform(table(spark, sf_dir, "documents")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, searched among all."""
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files with a shared dictionary and read back."""
     return token_files.write_and_read(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
@@ -89,6 +94,7 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_repair": op10_chat_repair,
     "op11_fill_middle": op11_fill_middle,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_ids": op13_token_ids,
 }
 SQL = {
@@ -97,4 +103,5 @@ SQL = {
     "op5_decontamination": decontamination.leaks_sql(),
     "op9_source_mixing": mixing.mix_sql(),
     "op11_fill_middle": fill_middle.digests_sql(),
+    "op12_hard_negatives": hard_negatives.mine_sql(),
 }
