@@ -12,10 +12,11 @@ from sums of words by hash bucket: 4096 buckets a source, then 4096 buckets insi
 wanted words run out. So no task ever holds the documents of a source, and a hot source costs what its
 rows cost. Documents in the last bucket that fits only in part are taken in part.
 
-Nulls: a null text has size 0; a null source is a source of its own, after all others. Documents with
-size 0 take 0 words. Repeated rows each count. Very long texts are counted whole. An empty table gives an
-empty result. Columns of the
-input beyond the id, text and source aren't read.
+Nulls: a null text has size 0; a null source is a source of its own, after all others; a null id is an empty one in
+the hash. Documents with size 0 take 0 words. Repeated rows each count: the hash is of id and text, so rows of one id, or
+without one, are sampled apart from each other; rows equal in both are taken alike, in part to within a word each. Very
+long texts are counted whole. An empty table gives an empty result. Columns of the input beyond the id, text
+and source aren't read.
 """
 
 from __future__ import annotations
@@ -64,9 +65,14 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return level.withColumn("target", target).select("source", "source_key", F.col("source_size").cast("long").alias("source_size"), "weight", "target")
 
 
-def hash_bucket(doc_id: Column, seed: int, level: int) -> Column:
-    """Bucket 0..4095 of a document at a level, from three hex digits of a seeded digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")))
+def seeded_digest(doc_id: Column, text: Column, seed: int) -> Column:
+    """A digest of id and text: rows without an id, or of one id, fall into different buckets by their texts."""
+    none = F.lit("")
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), none), F.lit(":"), F.coalesce(text, none)).cast("binary"))
+
+
+def hash_bucket(digest: Column, level: int) -> Column:
+    """Bucket 0..4095 of a document at a level, from three hex digits of its digest."""
     return F.conv(F.substring(digest, 1 + 3 * level, 3), 16, 10).cast("int")
 
 
@@ -97,8 +103,8 @@ def mix(
     source: str = "source",
 ) -> DataFrame:
     """Return doc_id, source, size, source_size, target, taken for each document."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
-    sized = sized.withColumns({"b1": hash_bucket(F.col("doc_id"), seed, 0), "b2": hash_bucket(F.col("doc_id"), seed, 1), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), seeded_digest(F.col(doc_id), F.col(text), seed).alias("digest"))
+    sized = sized.withColumns({"b1": hash_bucket(F.col("digest"), 0), "b2": hash_bucket(F.col("digest"), 1), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))}).drop("digest")
     # the only pass over the texts: all that follows reads these few numbers
     sized = materialize(sized, "mix-sizes")
     by_b1 = sized.groupBy("source", "source_key", "b1").agg(F.sum("size").alias("words"))
@@ -131,7 +137,7 @@ def mix(
 def mix_sql(documents: str = "documents", weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, max_epochs: float = 2.0, seed: int = 17, columns: str = "doc_id, size, source_size, target, taken") -> str:
     """The same rows in DuckDB SQL."""
     ws = ", ".join(f"{w}::DOUBLE" for w in weights)
-    bucket = lambda k: f"('0x' || substr(md5('{seed}:' || CAST(doc_id AS VARCHAR)), {1 + 3 * k}, 3))::INTEGER"
+    bucket = lambda k: f"('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), {1 + 3 * k}, 3))::INTEGER"
     return f"""
     WITH sized AS (
       SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

@@ -129,3 +129,24 @@ def test_water_level_and_samples(spark):
     assert sorted(map(tuple, [(r.doc_id, r.size, r.taken) for r in got])) == sorted(map(tuple, [(r.doc_id, r.size, r.taken) for r in again]))
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
     assert mixing.mix(docs(spark, [(1, None, None)])).first().taken == 0
+
+
+@pytest.mark.parametrize("ids", ["third", "all", "one"])
+def test_targets_with_null_and_repeated_ids(spark, ids):
+    of = {"third": lambda i: None if i % 3 == 0 else i, "all": lambda i: None, "one": lambda i: 7 if i % 3 == 0 else i}[ids]
+    rows = [(of(i), f"w{i} " * (1 + (i * 37) % 50), f"s{i % 5}") for i in range(3000)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    sums = {}
+    for r in got:
+        n, t, k = sums.get(r.source, (0, 0, 0))
+        sums[r.source] = n + r.taken, r.target, k + (r.taken % r.size > 0)
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    # rows taken in part are those of one bucket; each loses less than a word
+    assert all(abs(n - t) <= k + 1 and k < 10 for n, t, k in sums.values())
+    again = mixing.mix(docs(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mixing_ignores_columns_of_any_name(spark):
+    df = docs(spark, [(k, "a b c", "s") for k in range(20)]).withColumns({n: F.lit("x") for n in ("target", "b1", "B2", "source_key", "words", "taken", "digest")})
+    assert sum(r.taken for r in mixing.mix(df).collect()) == 90
