@@ -6,11 +6,12 @@ programme over the automaton of legal turns (states: start, system, user, assist
 is kept, relabelled, or merged into the turn before it; empty turns are inserted where a role lacks.
 Costs are fixed below; among equal costs the first transition in the table's order wins.
 
-The programme is a product of min-plus matrices, so it is cut: turns are range-partitioned and sorted,
-and every 4096 consecutive ones are a segment. A conversation within one segment (nearly all) is
-solved there. One that spans segments gives one 4 x 4 matrix a segment; their product, over rows that
-are 4096 times fewer, fixes the states at the cuts, and each segment is then traced on its own. So no
-task holds a conversation of unbounded length. A repaired turn whose merged texts span segments comes
+The programme is a product of min-plus matrices, so a conversation of more than 4096 turns is cut: every
+4096 of its turns, counted from its first, are a segment. Shorter ones (nearly all) are solved whole. A cut one
+gives one 4 x 4 matrix a segment; their product, over rows that are 4096 times fewer, fixes the states
+at the cuts, and each segment is then traced on its own. So no task holds a conversation of unbounded
+length. Turns are counted from range-partitioned, sorted rows and the numbers of rows of each partition, so
+where a cut lies depends on the conversation alone. A repaired turn whose merged texts span segments comes
 out in pieces, so that no text is unbounded either.
 
 Nulls: a null or unknown role is relabelled at low cost, a null text is empty, a null turn sorts last,
@@ -44,6 +45,8 @@ FOLLOW = {
 #: Empty turns that end a conversation from a state.
 CLOSING = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 SEGMENT = 4096
+#: monotonically_increasing_id holds the partition above, and the row in it below, so many bits.
+PARTITION_BITS = 33
 FAR = 10**12
 
 
@@ -170,7 +173,7 @@ def repaired(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Return conv_id, out_turn, piece, role, text, n_merged, inserted, relabelled, rendered.
 
-    piece is 0 but for merged turns that span segments, whose pieces follow each other.
+    piece is 0 but for merged turns that span segments of conversations of more than 4096 turns, whose pieces follow each other.
     """
     spoken = F.lower(F.trim(F.col(role)))
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
@@ -180,19 +183,23 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     base = base.withColumn("conv", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")))
     placed = base.withColumn("h", F.xxhash64("text")).repartitionByRange(F.col("conv"), F.col("turn").asc_nulls_last(), F.col("said").asc_nulls_last(), F.col("h"))
     placed = placed.sortWithinPartitions(F.col("conv"), F.col("turn").asc_nulls_last(), F.col("said").asc_nulls_last(), F.col("h"), F.col("text"))
-    placed = placed.withColumn("place", F.monotonically_increasing_id()).withColumn("seg", F.floor(F.col("place") / SEGMENT))
+    placed = placed.withColumn("place", F.monotonically_increasing_id())
     placed = materialize(placed.drop("h", "turn", "said"), "chat-turns")
-
-    counts = placed.groupBy("conv", "seg").agg(F.count(F.lit(1)).alias("n"))
-    spans = counts.groupBy("conv").agg(F.count(F.lit(1)).alias("segs")).where(F.col("segs") > 1).select("conv")
-    cut = counts.join(spans, "conv", "left_semi").select("conv", "seg")
-    rows = placed.select("conv", "seg", "place", "code", "text")
-    cut_rows = rows.join(cut, ["conv", "seg"], "left_semi").select("conv", "seg", "place", "code").repartition("seg").sortWithinPartitions("place")
+    rows = placed.select("conv", "place", F.shiftright("place", PARTITION_BITS).alias("part"), "code", "text")
+
+    # of each conversation above a segment, the number of its turns before each partition
+    counts = rows.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("begin"))
+    long = counts.groupBy("conv").agg(F.sum("n").alias("total")).where(F.col("total") > SEGMENT).select("conv")
+    ahead = F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")
+    shift = materialize(counts.join(long, "conv", "left_semi").select("conv", "part", (F.col("begin") - ahead).alias("zero")), "chat-shifts")
+    seg = F.coalesce(F.floor((F.col("place") - F.col("zero")) / SEGMENT), F.lit(-1)).cast("long")
+    rows = rows.join(shift, ["conv", "part"], "left").select("conv", seg.alias("seg"), "place", "code", "text")
+    cut_rows = rows.where("seg >= 0").select("conv", "seg", "place", "code").repartition("conv", "seg").sortWithinPartitions("conv", "seg", "place")
     matrices = cut_rows.mapInPandas(segment_matrices, "conv string, seg long, m array<long>")
     ends = materialize(matrices.groupBy("conv").applyInPandas(solve, "conv string, seg long, before int, after int, last boolean"), "chat-cuts")
 
     each = rows.join(ends, ["conv", "seg"], "left").select("conv", "seg", "place", "code", "text", "before", "after", "last")
-    each = each.repartition("seg").sortWithinPartitions("place")
+    each = each.repartition("conv", "seg").sortWithinPartitions("conv", "seg", "place")
     out = each.mapInPandas(repaired, "conv string, seg long, k int, role string, text string, n_merged long, inserted boolean, relabelled boolean, goes_on boolean, last boolean")
     out = materialize(out, "chat-repaired")
 

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from geostrata.llm import chat
 
 NAMES = ["system", "user", "assistant"]
@@ -84,6 +86,28 @@ def test_long_conversation_in_pieces(spark, monkeypatch):
     assert sum(r.n_merged for r in got) == len(rows)
 
 
+@pytest.mark.parametrize("segment", [8, 4096])
+def test_rows_do_not_depend_on_partitions(spark, monkeypatch, segment):
+    monkeypatch.setattr(chat, "SEGMENT", segment)
+    rng = random.Random(6)
+    rows = [(c, t, ("user", "user", "assistant")[t], f"{'ab'[t % 2]}") for c in range(1000) for t in range(3)]
+    rows += [(5000, t, rng.choice(NAMES + [None]), f"t{t}") for t in range(600)] + [(None, t % 3, "user", "same") for t in range(100)]
+    df = spark.createDataFrame([(*r, "clash", "clash", 1, 2) for r in rows], "conv_id long, turn int, role string, text string, conv string, SEG string, place int, k int")
+    seen = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 4, 7, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = sorted(map(str, chat.repair(df.repartition(n)).collect()))
+            assert sum("conv_id=5000" not in r and "conv_id=None" not in r for r in got) == 2000
+            seen.add(tuple(got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert len(seen) == 1
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
     assert chat.repair(df).count() == 0
