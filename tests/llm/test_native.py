@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from geostrata.llm import decontamination, line_templates, mixing, queries
 from tests.harness import compare
 
@@ -75,9 +76,55 @@ def test_templates(spark):
 
 def test_words_split_by_single_spaces_or_by_the_pattern(spark):
     lines = ["", " ", "a", "a b", "a  b", " a b", "a b ", "a\tb c", "a\x0bb", "a\fb c", "a b\r", "a\u00a0b c", "\u00e9 \u4e2d\u6587 \U0001f600"]
-    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", line_templates.words(F.col("x")).alias("w"))
-    for r in df.collect():
-        assert r.w == re.findall(line_templates.WORD, r.x)
+    df = spark.createDataFrame([(x,) for x in lines], "x string").select("x", line_templates.trimmed(F.col("x")).alias("t"))
+    for r in df.select("x", line_templates.words(F.col("t")).alias("w"), line_templates.n_words(F.col("t")).alias("n"), (F.length("t") > 0).alias("some")).collect():
+        assert r.w == re.findall(line_templates.WORD, r.x) and (r.n == len(r.w) or not r.some)
+
+
+def test_fields_are_learned_in_their_leaf(spark):
+    """Two variable words in different places of one line; a varied copy of a line that recurs whole; two templates in one leaf."""
+    name = lambda k: "abcdefghij"[k // 10 % 10] + "klmnopqrst"[k % 10]
+    log = [(k, f"the user named {name(k)} has logged in from the host {name(3 * k)} at noon today", "s") for k in range(1, 41)]
+    exact = [(k, "we thank all of our readers for their many kind letters again", "s") for k in range(50, 55)] + [(60, "we thank all of our writers for their many kind letters again", "s")]
+    two = [(k, f"the cat sat {name(k)} on the old mat in front of it" if k % 2 else f"the cat sat {name(k)} by a new door and it was red", "s") for k in range(70, 90)]
+    clean = [(k, " ".join(["one two three"] + [f"{name(7 * k + 13 * j)}{name(k)}" for j in range(8)]), "s") for k in range(100, 140)]
+    few = [(k, f"only two of these {name(k)} lines can be found in here", "s") for k in (200, 201)]
+    null = [(None, f"the user named {name(k)} has logged in from the host {name(k + 5)} at noon today", "s") for k in range(90, 93)]
+    rows = log + exact + two + clean + few + null
+    got = line_templates.drop_recurring(docs(spark, rows)).collect()
+    dropped = {r.doc_id for r in got if r.n_dropped}
+    assert dropped == {*range(2, 41), *range(51, 55), 60, *range(72, 90)}
+    assert all(r.text == "" for r in got if r.n_dropped) and sum(r.doc_id is None and r.text != "" for r in got) == 3
+
+
+def test_copies_and_lines_that_repeat_in_a_document(spark):
+    line = "a line that is said again and again by {} alone"
+    rows = [(1, "\n".join(line.format(x) for x in ("ann", "bob", "carl", "dora")), "s"), (2, line.format("eve"), "s")]
+    assert sum(r.n_dropped for r in line_templates.drop_recurring(docs(spark, rows)).collect()) == 0
+    # rows that repeat an id and a text count as documents; a line that recurs whole keeps its own first copy
+    more = rows + [(2, line.format("eve"), "s")] * 2 + [(3, line.format("finn") + "\nand more", "s")]
+    assert {(r.doc_id, r.n_dropped) for r in line_templates.drop_recurring(docs(spark, more)).collect()} == {(1, 0), (2, 0), (3, 1)}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    base = docs(spark, [(k, "same line in all of them\nown " + "abcdef"[k], "s") for k in range(6)]).withColumn("n_chars", F.length("text"))
+    names = ["__n_lines", "__n_dropped", "__n_cut", "__key", "__gone", "dkey", "rid", "place", "leaf", "whole", "f", "l", "line"]
+    odd = base.withColumns({n: F.lit(7) for n in names})
+    out = corpus_pipeline.drop_recurring_lines(spark, odd, "")
+    assert out.columns == odd.columns
+    rows = out.collect()
+    assert len(rows) == 6 and all(r[n] == 7 for r in rows for n in names) and sum("same" in r.text for r in rows) == 1
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_marks_in_texts(spark):
+    """Texts that hold the mark have no pieces and lose no character."""
+    part = "This sentence of ours is a long one. " * 12
+    rows = [(k, f"{part}\x01 {'own ' * (k + 1)}end. {part}\nthe last line here", "s") for k in range(4)] + [(9, f"x\x01y\n{part}", "s")]
+    got = {r.doc_id: r for r in line_templates.drop_recurring(docs(spark, rows)).collect()}
+    for k in range(1, 4):
+        assert got[k].n_cut == 0 and got[k].text == rows[k][1].split("\n")[0]
+    assert got[9].text == rows[4][1]
 
 
 def test_passages_in_longer_lines(spark):
