@@ -33,9 +33,10 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null text passes; rows with a null id keep their lines; rows that repeat an id are documents of their own.
     """
-    out = line_templates.clean(docs)
+    lines, dropped, cut = (fresh(docs, n) for n in ("lines", "dropped", "cut"))
+    out = line_templates.clean(docs, names=(lines, dropped, cut))
     blank = F.trim(F.translate("text", "\t\n\r\f\x0b", "     ")) == ""
-    same = F.col("__n_dropped") + F.col("__n_cut") == 0
+    same = F.col(dropped) + F.col(cut) == 0
     out = out.where(same | ~blank)
     return out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -62,7 +63,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document. Null texts have size 0; repeated rows each count."""
+    """Words that the mix takes of each document. Null texts have size 0; rows with a null or repeated id each count, sampled by their texts."""
     return mixing.mix(docs)
 
 
