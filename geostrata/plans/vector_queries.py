@@ -10,7 +10,7 @@ from geostrata.fixtures import CAMERA
 from geostrata.functions import camera as cam
 from geostrata.functions import geometry as geo
 from geostrata.functions import spectral as sp
-from geostrata.operators import collate, fitting, neighbors
+from geostrata.operators import collate, fitting, neighbors, overlay
 from geostrata.plans.raster_queries import rounded
 from geostrata.plans.registry import query
 from geostrata.session import table
@@ -381,6 +381,12 @@ def rings(spark, d) -> DataFrame:
     return r.select("id", F.transform("p", lambda q: F.struct(q.x.alias("x"), q.y.alias("y"))).alias("r"))
 
 
+def ring_vertices(spark, d) -> DataFrame:
+    """(id, k, x, y) of the same rings, a row a vertex."""
+    k = table(spark, d, "customer").select(c("c_nationkey").alias("id"), c("c_custkey").alias("k"), (c("c_custkey") % 97).cast("double").alias("x"), (c("c_acctbal") / 100).cast("double").alias("y"))
+    return k.join(k.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("id"), "id", "left_semi")
+
+
 SHOELACE = "list_sum(list_transform(range(1, len(r) + 1), lambda i: r[i].x * r[i % len(r) + 1].y - r[i % len(r) + 1].x * r[i].y)) / 2"
 
 
@@ -401,11 +407,7 @@ def bbox_center_kw18(spark, d):
  AND x < (r[i % len(r) + 1].x - r[i].x) * (y - r[i].y) / (r[i % len(r) + 1].y - r[i].y) + r[i].x THEN 1 ELSE 0 END)) % 2 = 1 AS inside FROM q, ring) SELECT pid, min(id) AS first_ring, count(*) AS n FROM h WHERE inside GROUP BY 1""")
 def point_in_polygon(spark, d):
     q = table(spark, d, "supplier").select(c("s_suppkey").alias("pid"), ((c("s_suppkey") % 97).cast("double") + 0.25).alias("x"), (F.abs("s_acctbal") / 150).alias("y"))
-    x0, y0, x1, y1 = geo.ring_bounds(c("r"))
-    # rings meet points in the unit columns that they span; their boxes prune before the ring itself is tested
-    r = rings(spark, d).withColumn("column", F.explode(F.sequence(F.floor(x0), F.floor(x1))))
-    near = q.withColumn("column", F.floor("x")).join(r, "column")
-    hit = near.where(c("x").between(x0, x1) & c("y").between(y0, y1) & geo.ring_contains(c("r"), c("x"), c("y")))
+    hit = overlay.containing(q, overlay.edges_of(ring_vertices(spark, d)))
     return hit.groupBy("pid").agg(F.min("id").alias("first_ring"), F.count(F.lit(1)).alias("n"))
 
 
