@@ -9,7 +9,7 @@ mask hits every such window: for any two substitutions among 13 words it still f
 
 Items of fewer than 13 words must agree in all words; those shorter than a mask get a contiguous mask
 of their own length. The items' seeds, each with its item's words, are broadcast after their bytes are
-summed; beyond the bound the seeds are joined by a shuffle and the hits are verified after a second join.
+summed; beyond the bound the seeds are joined by a shuffle and the hits are verified after joins by row numbers.
 
 Nulls and texts without words: never a hit. Null ids are ids like others. Repeated rows: one row for a pair
 of ids, with the best window. Very long texts: every position has its seed. Empty tables: no rows. Other
@@ -18,11 +18,11 @@ columns, whatever their names, aren't read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geostrata.session import materialize
+
 #: Positions of the mask. It hits every window of 13 words with up to two substitutions.
 MASKS = ((0, 1, 3, 6, 7),)
 WINDOW, LEAST = 13, 11
@@ -55,23 +55,30 @@ def best_window(doc: Column, item: Column, start: Column) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of documents and items that they leak: doc_id, item_id, n_equal (words equal in the best window)."""
     items = items.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item"))
-    items = items.withColumn("n_item", F.size("item")).where(F.col("n_item") > 0)
+    items = items.withColumn("n_item", F.size("item")).where(F.col("n_item") > 0).withColumn("item_row", F.monotonically_increasing_id())
     short = [r[0] for r in items.where(F.col("n_item") <= MASKS[0][-1]).select("n_item").distinct().collect()]
     masks = [*MASKS, *[tuple(range(k)) for k in sorted(short)]]
     texts = docs.select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("doc"))
 
     def at_all(rows: DataFrame, words: str, place: str) -> DataFrame:
-        one = [rows.select("*", F.lit(k).alias("mask"), F.posexplode(seeds(F.col(words), m)).alias(place, "seed")) for k, m in enumerate(masks)]
-        return reduce(DataFrame.unionByName, one)
+        if len(masks) == 1:
+            return rows.select("*", F.lit(0).alias("mask"), F.posexplode(seeds(F.col(words), masks[0])).alias(place, "seed"))
+        # all masks at once, so that a text's words are found and hashed once
+        row = lambda k: lambda s, i: F.struct(F.lit(k).alias("mask"), i.alias(place), s.alias("seed"))
+        return rows.select("*", F.inline(F.concat(*[F.transform(seeds(F.col(words), m), row(k)) for k, m in enumerate(masks)])))
 
     wanted = at_all(items.drop("n_item"), "item", "item_at")
-    found = at_all(texts, "doc", "doc_at")
     size = wanted.agg(F.sum(F.size("item") * 8 + 64)).first()[0] or 0
+    start = (F.col("doc_at") - F.col("item_at")).alias("start")
     if size <= MAX_BROADCAST_BYTES:
-        hits = found.join(F.broadcast(wanted), ["mask", "seed"]).withColumn("start", F.col("doc_at") - F.col("item_at"))
+        hits = at_all(texts, "doc", "doc_at").join(F.broadcast(wanted.drop("item_row")), ["mask", "seed"]).select("doc_id", "item_id", "doc", "item", start)
     else:
-        at = found.drop("doc").join(wanted.drop("item"), ["mask", "seed"]).select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("start")).distinct()
-        hits = at.join(items.select("item_id", "item"), "item_id").join(texts.withColumnRenamed("doc_id", "same_id"), F.col("doc_id").eqNullSafe(F.col("same_id"))).drop("same_id")
+        # words are hashed once, and rows are told apart by numbers of their own, whatever ids they share or lack
+        texts = materialize(texts.where(F.size("doc") > 0).withColumn("doc_row", F.monotonically_increasing_id()), "leak-texts")
+        items = materialize(items, "leak-items")
+        wanted = at_all(items.select("item", "item_row"), "item", "item_at")
+        at = at_all(texts.select("doc", "doc_row"), "doc", "doc_at").drop("doc").join(wanted.drop("item"), ["mask", "seed"]).select("doc_row", "item_row", start).distinct()
+        hits = at.join(items.select("item_row", "item_id", "item"), "item_row").join(texts, "doc_row")
     judged = hits.withColumn("n_equal", best_window(F.col("doc"), F.col("item"), F.col("start")))
     enough = F.col("n_equal") >= F.when(F.size("item") >= WINDOW, F.lit(LEAST)).otherwise(F.size("item"))
     return judged.where(enough).groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"))

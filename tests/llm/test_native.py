@@ -63,6 +63,20 @@ def test_leaks_against_brute_force(spark):
     assert decontamination.leaks(df.limit(0), bench).count() == 0 == decontamination.leaks(df, bench.limit(0)).count()
 
 
+def test_many_rows_without_an_id_on_both_paths(spark, monkeypatch):
+    """A hit of one of many rows of a null or repeated id is verified in its own row only."""
+    passage = " ".join(f"w{k}" for k in range(20))
+    df = docs(spark, [(None if k % 2 else 5, f"{k} {passage}" if k % 50 < 2 else f"{k} x y z", "s") for k in range(2000)])
+    bench = spark.createDataFrame([(None, passage), (None, "z z z"), (2, passage + " more"), (2, "5 x")], "item_id long, text string")
+    want = {(None, None): 13, (5, None): 13, (None, 2): 13, (5, 2): 13}
+    for most in (64_000_000, 0):
+        monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", most)
+        assert {(r.doc_id, r.item_id): r.n_equal for r in decontamination.leaks(df, bench).collect()} == want
+    out = decontamination.leaks(df, bench)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "doc_row" in plan
+
+
 def test_templates(spark):
     line = "Served page {} to the client at node {} in due time today ok"
     rows = [(1, "Only here\n" + line.format(1, 7), "s"), (2, line.format(22, 7) + "\nmine alone", "s"), (3, "\n" + line.format(333, 7), "s"), (4, "Served page 5 to the client at other 7 in due time today ok", "s"), (5, None, "s"), (6, "", "s"), (7, "a b\na b", "s"), (8, "a b", "s"), (9, "a b\n\nlast", "s"), (9, "a b\n\nlast", "s")]
