@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import FOLD, chunks, utf8
@@ -172,8 +172,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     share = F.create_map(*[F.lit(v) for a, n in counts.items() for v in (a, min(1.0, 1.3 * per_language / n))])
     h = F.xxhash64(F.lit("language"), F.col("doc_id"))
     some = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
-    got = some.select("text", "lang", "h").mapInArrow(features, "lang string, h long, x binary").toPandas()
-    got = got.sort_values(["lang", "h"]).groupby("lang").head(per_language)
+    # one row an id, ranked on executors, so the driver never gets more than the bound
+    some = some.groupBy("lang", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
+    got = some.select("text", "lang", "h").mapInArrow(features, "lang string, h long, x binary").toPandas().sort_values(["lang", "h"])
     return Model(got.lang.to_numpy(str), np.stack([np.frombuffer(v, np.float32) for v in got.x])) if len(got) else None
 
 

@@ -155,7 +155,7 @@ def train(docs: DataFrame, n: int) -> bytes:
     """A compression dictionary from at most SAMPLE texts chosen by hash, whole ones of 200 to 20,000 characters; empty where they are too few."""
     some = docs.where(F.length("text").between(200, 20_000)).select("text", F.xxhash64(F.lit("media"), "text").alias("h"))
     share = min(1.0, SAMPLE / max(1, n))
-    got = some.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["h"]).toPandas().sort_values("h").head(SAMPLE)
+    got = some.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).toPandas()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [t.encode() for t in got.text]).as_bytes()
     except zstandard.ZstdError:

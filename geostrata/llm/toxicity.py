@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.arrowtext import Words, chunks, utf8
@@ -368,8 +368,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
     some = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id")), F.lit(1_000_000)) < share * 1_000_000)
     some = some.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2)).cast("int"))
-    # about 2 x per_class ids at most, so broadcast
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic", "half")
+    # 2 x per_class ids a class at most, so broadcast; one row an id, so a repeated id doesn't fill the sample
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = some.distinct().withColumn("rank", rank).where(F.col("rank") <= 2 * per_class).drop("rank")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic", "half").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", "half")
     got = texts.mapInArrow(count_features, "half long, slot long, toxic long, clean long").groupBy("half", "slot").agg(F.sum("toxic"), F.sum("clean")).collect()
     table = np.zeros((2, 2, WORD_SLOTS + TRIPLE_SLOTS + 1))
     for half, slot, toxic, clean in got:

@@ -34,3 +34,19 @@ def test_duel_separates():
     y = np.where(x[:, 3] + 0.5 * x[:, 7] > 0, 1.0, -1.0).astype(np.float32)
     w, b, slope = language.fit_duel(x, y)
     assert ((x @ w + b > 0) == (y > 0)).mean() > 0.95 and slope > 0
+
+
+def test_a_repeated_id_takes_one_place_of_the_sample(spark):
+    """A third of the rows have one id; the driver gets at most the bound a language, and the rest still counts."""
+    from geostrata.llm import language
+
+    words = {"aa": "the cat sat on the mat", "bb": "le chat est sur la table"}
+    rows = [(7 if k % 3 == 0 else 10_000 + k, f"{words[x]} {k}", x) for x in words for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, old = [], type(df).toPandas
+    try:
+        type(df).toPandas = lambda self: seen.append(out := old(self)) or out
+        language.fit(df, 40)
+    finally:
+        type(df).toPandas = old
+    assert len(seen) == 1 and 60 <= len(seen[0]) <= 80 and not seen[0].duplicated(["lang", "h"]).any()
