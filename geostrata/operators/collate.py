@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.functions.geometry import box_overlap
+from geostrata.operators.running import running_sum
 
 #: Fixed value: modality codes between the prefix and the trail of an image's file name.
 NAME = r"^(.*)-(P1BS|M1BS|A1BS)-([0-9]+_[0-9]+_P[0-9]+)(.*)\.([A-Z]+)$"
@@ -40,10 +41,18 @@ def ranked(images: DataFrame, order: list[str]) -> DataFrame:
 
 
 def best_image(images: DataFrame, dsms: DataFrame, size: float = 11) -> DataFrame:
-    """(dsm, path, area): the image that covers most of each surface; then least cloud, angle, path. Surfaces are broadcast."""
+    """(dsm, path, area): the image that covers most of each surface; then least cloud, angle, path.
+
+    Boxes meet in cells as large as a surface, each pair in the first cell that both have.
+    """
     box = (F.col("ax"), F.col("ay"), F.col("ax") + size, F.col("ay") + size)
     area = box_overlap(tuple(F.col(c) for c in ("minx", "miny", "maxx", "maxy")), box)
-    pairs = images.crossJoin(F.broadcast(dsms)).withColumn("area", area).where("area > 0")
+    at = lambda c: F.floor(c / F.lit(float(size)))
+    cells = lambda df, lo, hi, n: df.withColumn(n, F.explode(F.sequence(at(lo), at(hi))))
+    a = cells(cells(images, F.col("minx"), F.col("maxx"), "cx"), F.col("miny"), F.col("maxy"), "cy")
+    b = cells(cells(dsms, box[0], box[2], "cx"), box[1], box[3], "cy")
+    first = (F.col("cx") == at(F.greatest("minx", "ax"))) & (F.col("cy") == at(F.greatest("miny", "ay")))
+    pairs = a.join(b, ["cx", "cy"]).where(first).withColumn("area", area).where("area > 0")
     rank = F.row_number().over(Window.partitionBy("dsm").orderBy(F.desc("area"), "cloud", "angle", "path"))
     return pairs.withColumn("r", rank).where("r = 1").select("dsm", "path", "area")
 
@@ -83,14 +92,24 @@ def voxel_means(points: DataFrame, size: tuple[float, float, float]) -> DataFram
 def sample_by_weight(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(k, id): for each u of queries the first item whose running weight reaches u times the total.
 
-    Running sums come in two levels, over blocks of ids and inside them, so no window spans all items.
+    Running sums come in levels of blocks of ids; items and queries meet in equal parts of the total, so neither a
+    window nor a join spans all items. A weight that reaches over several parts is in each of them.
     """
-    block = F.floor(F.col("id") / 4096)
-    inside = Window.partitionBy("b").orderBy("id")
-    part = items.withColumn("b", block).withColumn("own", F.sum("w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = items.groupBy(block.alias("b")).agg(F.sum("w").alias("s"))
-    o = Window.orderBy("b")
-    sums = sums.withColumn("before", F.sum("s").over(o) - F.col("s")).withColumn("total", F.sum("s").over(Window.partitionBy()))
-    cum = part.join(F.broadcast(sums), "b").select("id", "total", (F.col("before") + F.col("own")).alias("cum"), (F.col("before") + F.col("own") - F.col("w")).alias("prev"))
-    hit = cum.join(F.broadcast(queries), (F.col("cum") >= F.col("u") * F.col("total")) & (F.col("prev") < F.col("u") * F.col("total")))
+    n, total = items.agg(F.count(F.lit(1)), F.sum("w")).first()
+    if not total:
+        return queries.select("k").where("false").withColumn("id", F.lit(None).cast(items.schema["id"].dataType))
+    parts = max(1, n // 1024)
+    part = lambda c: F.least(F.floor(c * parts / F.lit(total)), F.lit(parts - 1))
+    cum = running_sum(items.where("w > 0"), "id", "w", "cum").select("id", "cum", (F.col("cum") - F.col("w")).alias("prev"))
+    # a little wider than the parts, so that rounding loses no meeting
+    slack = F.lit(total * 1e-12)
+    cum = cum.withColumn("part", F.explode(F.sequence(part(F.greatest(F.col("prev") - slack, F.lit(0.0))), part(F.col("cum") + slack))))
+    wanted = queries.select("k", (F.col("u") * total).alias("t")).withColumn("part", part(F.col("t")))
+    hit = cum.join(wanted, "part").where((F.col("cum") >= F.col("t")) & (F.col("prev") < F.col("t") + slack))
     return hit.groupBy("k").agg(F.min("id").alias("id"))
+
+
+def surviving_bins(counts: DataFrame, share: float) -> DataFrame:
+    """Rows (bin, n) of a histogram with more than a share of the largest count. One row of the largest is broadcast."""
+    top = counts.agg(F.max("n").alias("top"))
+    return counts.crossJoin(F.broadcast(top)).where(F.col("n") > F.lit(share) * F.col("top")).select("bin", "n")

@@ -17,21 +17,21 @@ def build(values: list[Column]) -> Column:
 def blended(points: DataFrame, anchors: DataFrame, k: int, damping: float) -> DataFrame:
     """(id, cov): each point's k nearest anchors' covariances, weighed by exp(-distance / damping)."""
     near = damped_weights(knn(points, anchors.withColumnRenamed("i", "id"), k), damping)
-    both = near.join(F.broadcast(anchors.select(F.col("i").alias("aid"), "cov")), "aid")
+    both = near.join(anchors.select(F.col("i").alias("aid"), "cov"), "aid")
     sums = [F.sum(F.col("w") * F.col("cov")[i][j]).alias(f"s{i}{j}") for i, j in NINE]
     return both.groupBy(F.col("qid").alias("id")).agg(*sums).select("id", build([F.col(f"s{i}{j}") for i, j in NINE]).alias("cov"))
 
 
 def looked_up(points: DataFrame, table: DataFrame) -> DataFrame:
     """(id, cov) by each point's index ppe_idx in the lookup table."""
-    return points.select("id", F.col("ppe_idx").alias("i")).join(F.broadcast(table.select("i", "cov")), "i").select("id", "cov")
+    return points.select("id", F.col("ppe_idx").alias("i")).join(table.select("i", "cov"), "i").select("id", "cov")
 
 
 def unmodeled(points: DataFrame, posts: DataFrame, record: int = 0) -> DataFrame:
     """(id, cov) of the nearest post of a record."""
     own = posts.where(F.col("record") == record)
     near = nearest(points, own.select(F.col("i").alias("id"), "x", "y", "z"))
-    return near.join(F.broadcast(own.select(F.col("i").alias("aid"), "cov")), "aid").select(F.col("qid").alias("id"), "cov")
+    return near.join(own.select(F.col("i").alias("aid"), "cov"), "aid").select(F.col("qid").alias("id"), "cov")
 
 
 def total(points: DataFrame, *parts: DataFrame) -> DataFrame:

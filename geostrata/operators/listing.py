@@ -40,10 +40,14 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(one)).withColumns(z).select(*df.columns)  # one row
 
 
-def raster_lookup(points: DataFrame, grid: DataFrame, rows: int, cols: int, dx: float, dy: float, value: str = "v") -> DataFrame:
-    """Points (x, y, ...) with the value of their cell; a point outside takes the nearest border cell, an empty cell gives null."""
-    at = lambda c, d, n: F.least(F.greatest(F.floor(F.col(c) / d), F.lit(0)), F.lit(n - 1))
-    placed = points.withColumns({"row": at("y", dy, rows), "col": at("x", dx, cols)})
+def raster_lookup(points: DataFrame, grid: DataFrame, rows: int, cols: int, dx: float, dy: float, value: str = "v", x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """Points (x, y, ...) with the value of their cell; a point outside takes the nearest border cell, an empty cell gives null.
+
+    x0, y0: the corner of the first cell. dy is negative for rasters whose rows run from north to south. Offsets are
+    cut off towards zero, so points less than a cell before the corner count to the first cell.
+    """
+    at = lambda c, o, d, n: F.least(F.greatest(((F.col(c) - F.lit(float(o))) / F.lit(float(d))).cast("long"), F.lit(0)), F.lit(n - 1))
+    placed = points.withColumns({"row": at("y", y0, dy, rows), "col": at("x", x0, dx, cols)})
     return placed.join(grid.select("row", "col", value), ["row", "col"], "left")
 
 

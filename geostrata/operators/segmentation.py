@@ -39,6 +39,12 @@ def tile_windows(spark: SparkSession, rows: int, cols: int, size: int) -> DataFr
     return a.crossJoin(F.broadcast(b)).select("r0", "c0", F.least(F.col("r0") + size, F.lit(rows)).alias("r1"), F.least(F.col("c0") + size, F.lit(cols)).alias("c1"))
 
 
+def double_threshold(probability: DataFrame, low: float, more: float = 0.4, seed: int = 6, other: int = 2) -> DataFrame:
+    """(row, col, class) of cells (row, col, p) from low up: seed from low + more up, else the other class."""
+    mask = probability.where(F.col("p") >= low)
+    return mask.select("row", "col", F.when(F.col("p") >= F.lit(round(low + more, 12)), seed).otherwise(other).alias("class"))
+
+
 def rle_encode(seq: DataFrame, block: int = 1 << 16) -> DataFrame:
     """(start, length, value) of runs in (i, v); i may have gaps.
 

@@ -120,12 +120,12 @@ def surface_composite(spark, d):
     return fx.grid(spark, d).select("row", "col", ls.larger(a, b).alias("v"))
 
 
-@query(f"""WITH {GRID}, p AS (SELECT s_suppkey AS id, s_acctbal AS x, s_suppkey * 3 - 20 AS y FROM supplier), q AS (SELECT id, least(greatest(floor(y / {fx.DY})::BIGINT, 0), {ROWS} - 1) AS r, least(greatest(floor(x / {fx.DX})::BIGINT, 0), {COLS} - 1) AS k FROM p)
+@query(f"""WITH {GRID}, p AS (SELECT s_suppkey AS id, s_acctbal AS x, s_suppkey * 3 - 20 AS y FROM supplier), q AS (SELECT id, least(greatest(trunc((y - 50) / -{fx.DY})::BIGINT, 0), {ROWS} - 1) AS r, least(greatest(trunc((x - 300) / {fx.DX})::BIGINT, 0), {COLS} - 1) AS k FROM p)
 SELECT id, r AS "row", k AS col, v FROM q LEFT JOIN grid ON grid."row" = r AND grid.col = k""")
 def height_lookup(spark, d):
-    """Points in and outside the raster; those outside take the border."""
+    """Points in and outside the raster, which begins at (300, 50) and runs south; those outside take the border."""
     p = table(spark, d, "supplier").select(c("s_suppkey").alias("id"), c("s_acctbal").alias("x"), (c("s_suppkey") * 3 - 20).alias("y"))
-    return ls.raster_lookup(p, fx.grid(spark, d), *extent(spark, d), fx.DX, fx.DY).select("id", "row", "col", "v")
+    return ls.raster_lookup(p, fx.grid(spark, d), *extent(spark, d), fx.DX, -fx.DY, x0=300, y0=50).select("id", "row", "col", "v")
 
 
 @query(f"""WITH {GRID}, e AS (SELECT {ROWS} AS rn, {COLS} AS cn), t AS (SELECT ("row" - (rn % 16) // 2) // 16 AS tr, (col - (cn % 16) // 2) // 16 AS tc, v FROM grid, e WHERE "row" >= (rn % 16) // 2 AND col >= (cn % 16) // 2 AND ("row" - (rn % 16) // 2) // 16 < rn // 16 AND (col - (cn % 16) // 2) // 16 < cn // 16)

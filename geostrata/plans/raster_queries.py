@@ -199,9 +199,20 @@ def tile_assign(spark, d):
     return rounded(sg.tiles(fx.grid(spark, d), 32).groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r0"), F.max("col").alias("c1"), F.avg("v").alias("mean")), "mean")
 
 
-@query("SELECT r AS r0, c AS c0, least(r + 1000, 5608) AS r1, least(c + 1000, 5792) AS c1 FROM range(0, 5608, 1000) a(r), range(0, 5792, 1000) b(c)")
+@query(f"""WITH {GRID}, x AS (SELECT {ROWS} AS rn, {COLS} AS cn), a AS (SELECT unnest(range(0, rn, 64)) AS r0, rn FROM x), b AS (SELECT unnest(range(0, cn, 64)) AS c0, cn FROM x)
+SELECT r0, c0, least(r0 + 64, rn) AS r1, least(c0 + 64, cn) AS c1 FROM a, b""")
 def tile_coords(spark, d):
-    return sg.tile_windows(spark, 5608, 5792, 1000)
+    """Windows of 64 x 64 cells over the grid's own extent, ragged at the far edges."""
+    return sg.tile_windows(spark, *extent(spark, d), 64)
+
+
+@query(f"""WITH {GRID}, p AS (SELECT "row", col, v / (SELECT max(v) FROM grid) AS p FROM grid) SELECT "row", col, CASE WHEN p >= 0.95 THEN 6 ELSE 2 END AS class FROM p WHERE p >= 0.55""")
+def double_threshold(spark, d):
+    """Cells of a probability above one threshold, and of these the seeds above another that is 0.4 higher."""
+    g = fx.grid(spark, d)
+    top = g.agg(F.max("v").alias("top"))
+    p = g.crossJoin(F.broadcast(top)).select("row", "col", (F.col("v") / F.col("top")).alias("p"))  # one row
+    return sg.double_threshold(p, 0.55)
 
 
 @query(f"""WITH {GRID}, seq AS (SELECT "row" * {COLS} + col AS i, CASE WHEN v > 80 THEN 1 ELSE 0 END AS v FROM grid), f AS (SELECT i, v, CASE WHEN v = lag(v) OVER (ORDER BY i) AND i = lag(i) OVER (ORDER BY i) + 1 THEN 0 ELSE 1 END AS new FROM seq),

@@ -357,11 +357,19 @@ def gap_clusters(spark, d):
     return collate.gap_clusters(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", F.unix_micros(c("ts").cast("timestamp")) / 1e6, ["ts", "event_id"], 21600)
 
 
-@query("WITH b AS (SELECT floor(value / 10)::BIGINT AS bin, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1), k AS (SELECT bin FROM b WHERE n > 0.9 * (SELECT max(n) FROM b)) SELECT min(bin) AS first, max(bin) AS last, count(*) AS kept FROM k")
+@query("WITH b AS (SELECT floor(value / 10)::BIGINT AS bin, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1), k AS (SELECT bin FROM b WHERE n > 0.1 * (SELECT max(n) FROM b)) SELECT min(bin) AS first, max(bin) AS last, count(*) AS kept FROM k")
 def histogram_trim(spark, d):
+    """Bins of 10 with more than a tenth of the largest count."""
     b = table(spark, d, "events").where("event_type <> 'error'").groupBy(F.floor(c("value") / 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    top = b.agg(F.max("n").alias("top"))
-    return b.crossJoin(F.broadcast(top)).where("n > 0.9 * top").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.count(F.lit(1)).alias("kept"))
+    return collate.surviving_bins(b, 0.1).agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.count(F.lit(1)).alias("kept"))
+
+
+@query("""WITH v AS (SELECT event_type, value FROM events WHERE value IS NOT NULL), r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 50 AS step FROM v), b AS (SELECT least(floor((value - lo) / step), 49)::BIGINT AS bin, count(*) AS n FROM v, r GROUP BY 1)
+SELECT min(bin) AS first, max(bin) AS last FROM b WHERE n > 0.2 * (SELECT max(n) FROM b)""")
+def histogram_ends(spark, d):
+    """Of 50 bins over the range the first and last with more than a fifth of the largest count."""
+    b = collate.histogram(table(spark, d, "events").where("value is not null"), "value", 50)
+    return collate.surviving_bins(b, 0.2).agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
 
 
 @query("SELECT c_custkey AS id, (c_custkey % 5)::INTEGER AS fold, (c_custkey // 10)::BIGINT AS tile FROM customer")
@@ -415,7 +423,7 @@ def point_in_polygon(spark, d):
 def merge_mesh_rebase(spark, d):
     f = table(spark, d, "orders").select(c("o_orderpriority").alias("file"), (c("o_custkey") % 50).alias("v"))
     base = fitting.vertex_offsets(f.groupBy("file").agg(F.count(F.lit(1)).alias("nv")))
-    return f.join(F.broadcast(base), "file").groupBy("file", "base").agg(F.max(c("v") + c("base")).alias("top"))
+    return f.join(base, "file").groupBy("file", "base").agg(F.max(c("v") + c("base")).alias("top"))
 
 
 @query(f"WITH {P} SELECT cls, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(var_pop(x), 4) AS xx, round(covar_pop(x, y), 4) AS xy, round(covar_pop(x, z), 4) AS xz, round(var_pop(y), 4) AS yy, round(covar_pop(y, z), 4) AS yz, round(var_pop(z), 4) AS zz FROM pts GROUP BY 1")
