@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geostrata.plans import file_queries, listing_queries, mesh_queries, outline_queries, overlay_queries, raster_queries, vector_queries  # noqa: F401
+from geostrata.plans import consensus_queries, file_queries, listing_queries, mesh_queries, outline_queries, overlay_queries, raster_queries, vector_queries  # noqa: F401
 from geostrata.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
