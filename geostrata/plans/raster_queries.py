@@ -9,6 +9,7 @@ from geostrata import fixtures as fx
 from geostrata.operators import raster as rs
 from geostrata.operators import segmentation as sg
 from geostrata.operators import terrain
+from geostrata.operators import windowing as wn
 from geostrata.plans.registry import query
 
 PTS, GRID = fx.PTS_SQL, fx.GRID_SQL
@@ -206,6 +207,23 @@ def tile_coords(spark, d):
     return sg.tile_windows(spark, *extent(spark, d), 64)
 
 
+def windows_sql(n: str, name: str) -> str:
+    """SQL for the first cells of windows of 32 every 20 along n cells."""
+    return f"SELECT DISTINCT least(unnest(range(0, greatest(n - 32, 0) + 20, 20)), greatest(n - 32, 0)) AS {name} FROM (SELECT {n} AS n)"
+
+
+@query(f"""WITH {GRID}, a AS ({windows_sql(ROWS, "r0")}), b AS ({windows_sql(COLS, "c0")})
+SELECT "row", col, v + 1 AS v, count(*) AS n FROM grid JOIN a ON "row" >= r0 AND "row" < r0 + 32 JOIN b ON col >= c0 AND col < c0 + 32 GROUP BY ALL""")
+def split_and_stitched(spark, d):
+    """The surface through overlapping windows: worked on in each, stitched from their middles, with the windows of each cell."""
+    rows, cols = extent(spark, d)
+    if not rows:
+        return fx.grid(spark, d).withColumn("n", F.lit(1).cast("long"))
+    cells = wn.split(fx.grid(spark, d), rows, cols, 32, 20).withColumn("v", F.col("v") + 1)
+    n = cells.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+    return wn.stitch(cells, rows, cols, 32, 20).join(n, ["row", "col"]).select("row", "col", "v", "n")
+
+
 @query(f"""WITH {GRID}, p AS (SELECT "row", col, v / (SELECT max(v) FROM grid) AS p FROM grid) SELECT "row", col, CASE WHEN p >= 0.95 THEN 6 ELSE 2 END AS class FROM p WHERE p >= 0.55""")
 def double_threshold(spark, d):
     """Cells of a probability above one threshold, and of these the seeds above another that is 0.4 higher."""
