@@ -9,8 +9,9 @@ and runs of digits count as one digit, so numbers are variable everywhere. Lines
   line that recurs counts with its documents). The line whose words are the most frequent ones in their positions
   is the core of a template; lines that have its words in at least 7 of 10 positions are the template's instances, and
   positions where these differ are its variable fields. If they are in at least ``min_docs`` documents, it recurs.
-  What is left in the leaf is merged again, ``ROUNDS`` times in all, so a leaf gives up to so many templates
-  with fields.
+  What is left in the leaf is merged again. After ``ROUNDS`` such rounds the lines that no recurring template has
+  claimed are gone through until none of them has lines of ``min_docs`` documents around it, itself included, so a leaf
+  gives as many templates with fields as it has.
 
 A line of at least 300 bytes also falls into pieces, so that a passage within it is found whatever
 stands around it: it is cut behind sentences, so cuts depend on the text next to them alone. A piece of at least 40 bytes recurs like a whole line. A text that holds the
@@ -31,16 +32,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.columns import fresh
-from geostrata.session import materialize
+from geostrata.session import discard, materialize
 
 #: A leaf's key has so many leading words; lines of fewer than LEAST_WORDS words have no leaf.
 LEADING, LEAST_WORDS = 3, 8
-#: An instance has so many in ten words of its template's core; templates with fields of a leaf.
-CONSTANT_TENTHS, ROUNDS = 7, 2
+#: An instance has so many in ten words of its template's core; rounds with one core a leaf; most cores of a leaf in each round after them.
+CONSTANT_TENTHS, ROUNDS, CORES = 7, 2, 32
 LONG_LINE, LEAST_PIECE = 300, 40
 SPACE = " \t\r\f\x0b"
 #: Behind what a long line may be cut, and the mark put there.
@@ -109,24 +110,110 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "dkey", "rid", "place", "whole", F.when(F.col("n") >= LEAST_WORDS, F.xxhash64("n", "lead")).alias("leaf"))
 
 
-def merged(items: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """One template with fields a leaf: dkey and place of lines to drop, and the items that aren't its instances.
+def spelled_out(kinds: DataFrame) -> DataFrame:
+    """kinds (leaf, kind, words and more) spread by position, with hashes of words."""
+    more = [c for c in kinds.columns if c not in ("leaf", "kind", "words")]
+    return kinds.select("leaf", "kind", *more, F.posexplode("words").alias("pos", "word")).withColumn("word", F.xxhash64("word"))
+
+
+def fits(words: Column, core: Column) -> Column:
+    """Whether a line has the core's words in so many places."""
+    same = F.size(F.filter(F.zip_with(words, core, lambda a, b: a == b), lambda x: x))
+    return same * 10 >= F.size(words) * CONSTANT_TENTHS
+
+
+def merged(items: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One template with fields a leaf: dkey and place of lines to drop, the items that aren't its instances, and the instances of templates that don't recur.
 
     items: leaf, dkey, place (null for a whole line that recurs), weight (documents), first (smallest id), words.
     """
     # words of a kind of line stay in one row; what is spread by position has their hash
     kinds = items.withColumn("kind", F.xxhash64("words")).groupBy("leaf", "kind").agg(F.min("words").alias("words"), F.sum("weight").alias("n"))
-    each = kinds.select("leaf", "kind", "n", F.posexplode("words").alias("pos", "word")).withColumn("word", F.xxhash64("word"))
+    each = spelled_out(kinds.select("leaf", "kind", "n", "words"))
     counts = each.groupBy("leaf", "pos", "word").agg(F.sum("n").alias("count"))
     scores = each.join(counts, ["leaf", "pos", "word"]).groupBy("leaf", "kind").agg(F.sum("count").alias("score"))
     best = kinds.join(scores, ["leaf", "kind"]).groupBy("leaf").agg(F.max(F.struct("score", F.col("words").alias("core"))).alias("best"))
     core = best.select("leaf", "best.core")
-    same = F.size(F.filter(F.zip_with("words", "core", lambda a, b: a == b), lambda x: x))
-    told = materialize(items.join(core, "leaf").withColumn("fits", same * 10 >= F.size("words") * CONSTANT_TENTHS).drop("core"), "line-merged")
+    told = materialize(items.join(core, "leaf").withColumn("fits", fits(F.col("words"), F.col("core"))).drop("core"), "line-merged")
     of_doc = told.where("fits").groupBy("leaf", "dkey").agg(F.max("weight").alias("weight"), F.min("first").alias("first"))
-    found = of_doc.groupBy("leaf").agg(F.sum("weight").alias("n"), F.min("first").alias("first_doc")).where(F.col("n") >= min_docs)
-    gone = told.where(F.col("fits") & F.col("place").isNotNull()).join(found, "leaf").where(F.col("first") != F.col("first_doc"))
-    return gone.select("dkey", "place"), told.where(~F.col("fits")).drop("fits")
+    found = of_doc.groupBy("leaf").agg(F.sum("weight").alias("n"), F.min("first").alias("first_doc"))
+    found = materialize(found, "line-found")
+    gone = told.where(F.col("fits") & F.col("place").isNotNull()).join(found.where(F.col("n") >= min_docs), "leaf").where(F.col("first") != F.col("first_doc"))
+    unclaimed = told.where("fits").join(found.where(F.col("n") < min_docs).select("leaf"), "leaf", "left_semi")
+    return gone.select("dkey", "place"), told.where(~F.col("fits")).drop("fits"), unclaimed.drop("fits")
+
+
+def most_around(counts: Column) -> Column:
+    """At most so many lines can fit a core, given how many have its word at each place.
+
+    A line that fits shares m of n places, so all but j of these are among any n - j: the sum over the n - j places
+    with the least counts is at least m - j times the number of lines that fit. The least of these bounds is taken.
+    """
+    spare = F.floor(F.size(counts) * (10 - CONSTANT_TENTHS) / F.lit(10)).cast("int")
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("k"), F.lit(1e18).alias("least"))
+
+    def add(a: Column, x: Column) -> Column:
+        total, k = a["sum"] + x, a["k"] + 1
+        return F.struct(total.alias("sum"), k.alias("k"), F.when(k > spare, F.least(a["least"], total / (k - spare))).otherwise(a["least"]).alias("least"))
+
+    return F.aggregate(F.array_sort(counts), start, add, lambda a: a["least"])
+
+
+def cores_of(pool: DataFrame, min_docs: int) -> DataFrame:
+    """leaf, core (its kind), core_words and rank of lines that may have lines of min_docs documents around them, some of which can be dropped: at most CORES a leaf."""
+    kinds = pool.groupBy("leaf", "kind").agg(F.min("words").alias("words"), F.sum("weight").alias("n"), F.sum(F.col("place").isNotNull().cast("long")).alias("open"), F.max("tried").alias("tried"))
+    each = spelled_out(kinds)
+    counts = each.groupBy("leaf", "pos", "word").agg(F.sum("n").alias("all_n"), F.sum("open").alias("all_open"))
+    bounds = each.join(counts, ["leaf", "pos", "word"]).groupBy("leaf", "kind").agg(
+        F.sum("all_n").alias("score"), F.collect_list(F.col("all_n").cast("double")).alias("ns"), F.collect_list(F.col("all_open").cast("double")).alias("opens"), F.max("tried").alias("tried")
+    )
+    may = bounds.where(~F.col("tried") & (most_around(F.col("ns")) > min_docs - 1e-6) & (most_around(F.col("opens")) > 1 - 1e-6)).select("leaf", "kind", "score")
+    may = materialize(kinds.select("leaf", "kind", "words").join(may, ["leaf", "kind"]), "line-cores")
+    # the best of those that share a word at a place leads there; near copies of a better one lead in their fields only
+    places = spelled_out(may)
+    leads = places.groupBy("leaf", "pos", "word").agg(F.max(F.struct("score", "kind")).alias("best")).groupBy("leaf", F.col("best.kind").alias("kind")).agg(F.count(F.lit(1)).alias("places"))
+    rank = F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("places"), F.desc("score"), "kind"))
+    return may.join(leads, ["leaf", "kind"]).withColumn("rank", rank).where(F.col("rank") <= CORES).select("leaf", F.col("kind").alias("core"), F.col("words").alias("core_words"), "rank")
+
+
+def merged_whole(items: DataFrame, min_docs: int) -> list[DataFrame]:
+    """dkey and place of lines to drop, of all templates that are left in the items, however many a leaf has.
+
+    In each round every leaf tries up to CORES of its lines as cores. A core without lines of min_docs documents
+    around it is never tried again, as lines only leave. Of the others the first takes all lines that fit it, so
+    each round settles at least one core of each leaf, and the rounds end when none is left.
+    """
+    gone: list[DataFrame] = []
+    pool = items.select("*", F.xxhash64("words").alias("kind"), F.lit(False).alias("tried"))
+    worth = lambda rows: rows.join(rows.groupBy("leaf").agg(F.sum("weight").alias("all"), F.count("place").alias("open")).where((F.col("all") >= min_docs) & (F.col("open") > 0)).select("leaf"), "leaf", "left_semi")
+    pool = materialize(worth(pool).withColumn("item", F.monotonically_increasing_id()), "line-pool")
+    while not pool.isEmpty():
+        cores = materialize(cores_of(pool, min_docs), "line-tried")
+        if cores.isEmpty():
+            break
+        pairs = pool.join(cores, "leaf").where(fits(F.col("words"), F.col("core_words")))
+        pairs = materialize(pairs.select("leaf", "core", "rank", "item", "dkey", "place", "weight", "first"), "line-fits")
+
+        def documents(rows: DataFrame) -> DataFrame:
+            of_doc = rows.groupBy("leaf", "core", "dkey").agg(F.max("weight").alias("weight"), F.min("first").alias("first"), F.count("place").alias("open"))
+            return of_doc.groupBy("leaf", "core").agg(F.sum("weight").alias("n"), F.min("first").alias("first_doc"), F.sum("open").alias("open"))
+
+        enough = (F.col("n") >= min_docs) & (F.col("open") > 0)
+        around = materialize(documents(pairs).withColumn("enough", enough), "line-around")
+        first = pairs.join(around.where("enough").select("leaf", "core"), ["leaf", "core"]).groupBy("leaf", "item").agg(F.min(F.struct("rank", "core", "dkey", "place", "weight", "first")).alias("of"))
+        first = materialize(first.select("leaf", "item", "of.*"), "line-first")
+        found = materialize(documents(first).where(enough), "line-found")
+        claimed = first.join(found.select("leaf", "core", "first_doc"), ["leaf", "core"])
+        gone.append(claimed.where(F.col("place").isNotNull() & (F.col("first") != F.col("first_doc"))).select("dkey", "place"))
+        # cores are done that have too few lines around them, and those that were found; a leaf without cores is done as well
+        done = around.where(~F.col("enough")).select("leaf", "core").unionByName(found.select("leaf", "core")).select("leaf", F.col("core").alias("kind"), F.lit(True).alias("now"))
+        left = pool.join(cores.select("leaf").distinct(), "leaf", "left_semi").join(claimed.select("leaf", "item"), ["leaf", "item"], "left_anti")
+        left = left.join(done, ["leaf", "kind"], "left").withColumn("tried", F.col("tried") | F.coalesce("now", F.lit(False)))
+        rest = materialize(worth(left.select(*pool.columns)), "line-pool")
+        for old in (pool, cores, pairs, around):
+            discard(old)
+        pool = rest
+    return gone
 
 
 def maybe_in(rows: DataFrame, key: str, keys: DataFrame, hit: str) -> DataFrame:
@@ -198,11 +285,16 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, names: tuple[str, str, str]
     recurring = materialize(recurring, "line-recurring")
     gone = [lined.join(recurring.hint("merge"), "whole").where(F.col("doc_id") != F.col("first_doc")).select("dkey", "place")]
     items = materialize(in_leaves(base, lined, recurring, min_docs), "line-items")
+    unclaimed = []
     for _ in range(ROUNDS):
         if items.isEmpty():
             break
-        found, items = merged(items, min_docs)
+        found, items, few = merged(items, min_docs)
         gone.append(found)
+        unclaimed.append(few)
+    for few in unclaimed:
+        items = items.unionByName(few)
+    gone += merged_whole(items, min_docs)
     key, all_gone = fresh(docs, "key"), fresh(docs, "gone")
     dropped = gone[0]
     for more in gone[1:]:
@@ -222,7 +314,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, names: tuple[str, str, str]
 
 
 def drop_recurring_sql(documents: str = "documents", min_docs: int = MIN_DOCS) -> str:
-    """The same rows in DuckDB SQL, with lines and words in place of their hashes."""
+    """The same rows in DuckDB SQL, with lines and words in place of their hashes, where ROUNDS rounds leave no template in any leaf."""
     space = "' ' || chr(9) || chr(13) || chr(12) || chr(11)"
     rounds = ""
     for k in range(ROUNDS):

@@ -111,6 +111,35 @@ def test_fields_are_learned_in_their_leaf(spark):
     assert all(r.text == "" for r in got if r.n_dropped) and sum(r.doc_id is None and r.text != "" for r in got) == 3
 
 
+def many_templates():
+    """Seven templates with fields in one leaf, of three documents and more, and lines that have at most two documents around them."""
+    name = lambda k: "abcdefghij"[k // 10 % 10] + "klmnopqrst"[k % 10]
+    own = lambda t: " ".join(f"{'stuvwxy'[t]}{name(10 * t + j)}" for j in range(7))
+    rows, want = [], set()
+    for t in range(7):
+        ids = [100 * t + j for j in range(3 + t)]
+        rows += [(i, f"we found that {own(t)} {name(i)}", "s") for i in ids]
+        want |= set(ids[1:])
+    pair = " ".join(name(80 + j) * 2 for j in range(7))
+    return rows + [(1000 + j, f"we found that {pair} {name(j)}", "s") for j in range(2)], want
+
+
+@pytest.mark.parametrize("cores", [1, 32])
+def test_every_template_of_a_leaf(spark, monkeypatch, cores):
+    rows, want = many_templates()
+    monkeypatch.setattr(line_templates, "CORES", cores, raising=False)
+    assert {r.doc_id for r in line_templates.drop_recurring(docs(spark, rows)).collect() if r.n_dropped} == want
+
+
+def test_lines_of_a_core_that_failed_are_tried_again(spark):
+    """The line with the most common words has one line around it, and that one, tried later, has three."""
+    name = lambda k: "abcdefghij"[k // 10 % 10] + "klmnopqrst"[k % 10]
+    core = "p q r s t u v".split()
+    rows = [(1, "it is known p q r s t u v", "s"), (2, "it is known p q r g h i v", "s"), (3, "it is known a b c g h i v", "s"), (4, "it is known a q c g h i w", "s")]
+    common = [(10 + k, " ".join(["it is known", *(w if j == k % 7 else f"{name(k)}{'abcdefg'[j]}" for j, w in enumerate(core))]), "s") for k in range(35)]
+    assert {r.doc_id for r in line_templates.drop_recurring(docs(spark, rows + common)).collect() if r.n_dropped} == {2, 3, 4}
+
+
 def test_copies_and_lines_that_repeat_in_a_document(spark):
     line = "a line that is said again and again by {} alone"
     rows = [(1, "\n".join(line.format(x) for x in ("ann", "bob", "carl", "dora")), "s"), (2, line.format("eve"), "s")]
