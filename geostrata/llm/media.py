@@ -9,7 +9,8 @@ chunk that only one object has goes to that object's pack (its private chunks, c
 chunk that several have is stored once, in the shared part, by the object with the least digest. A small
 dictionary, fitted on a bounded sample and stored beside the packs, serves their compression. The
 manifest of an object is its ordered list of chunks. Reading back joins shared chunks to the packs
-that list them, puts the chunks in order, verifies both digests and computes features of the samples.
+that list them, sorts packs and chunks by object and place, reads them one object at a time, verifies both
+digests and computes features of the samples.
 
 Digests travel, bytes mostly don't. Bit filters over digests, sized by their number, tell on the map side
 which chunks are shared, which object stores one, and which row stands for copies, so packs go from their
@@ -43,7 +44,7 @@ from geostrata.session import discard, materialize
 LEAST_CHUNK, MOST_CHUNK, CUT_BITS, HEADER, UNIT = 256, 4096, 10, 44, 64
 GEAR = (table64(256, 41) >> np.uint64(32)).astype(np.uint32)
 #: Compressed bytes of a batch, compression level, bytes and sampled texts of the dictionary.
-BATCH_BYTES, LEVEL, DICTIONARY_BYTES, SAMPLE = 8_000_000, 12, 32_768, 800
+BATCH_BYTES, LEVEL, DICTIONARY_BYTES, SAMPLE = 2_000_000, 12, 32_768, 800
 
 
 def wav_header(n: int, rate: int = 8000) -> bytes:
@@ -220,24 +221,39 @@ def store_batch(rows: list[tuple]) -> pa.RecordBatch:
 BACK = pa.schema([("object", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("verified", pa.bool_())])
 
 
+def told(unz: zstandard.ZstdDecompressor, obj: bytes, n: int, lengths: list[int], blob: bytes, got: dict[int, bytes]) -> tuple:
+    """A row of BACK: an object's chunks in order, verified, with their features."""
+    own = unz.decompress(blob)
+    if got:
+        mine = iter(parts_of(own, lengths))
+        own = b"".join(got[k] if k in got else next(mine) for k in range(n))
+    payload = samples(own)
+    sha = hashlib.sha256(payload)
+    return obj, len(payload), sha.hexdigest(), zlib.crc32(payload[-UNIT:]), len(own), hashlib.sha256(own).hexdigest(), feature(payload, n), sha.digest() == obj
+
+
+def back_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(BACK.names, r)) for r in rows], BACK)
+
+
 def read_back(dictionary: bytes):
-    """For mapInArrow: put each object's chunks in order, verify it, compute its features."""
+    """For mapInArrow: objects from rows sorted by (key, seq): a pack (seq -1), then the shared chunks that it lists. One object is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, unz = codec(dictionary)
+        pack, got = None, {}
         for b in batches:
             rows = []
-            for obj, n, lengths, blob, got in zip(*(b.column(c) for c in ("key", "n_chunks", "lengths", "blob", "got"))):
-                obj, got = obj.as_py(), got.as_py() or []
-                own = unz.decompress(blob.as_py())
-                if got:
-                    place = {g["seq"]: unz.decompress(g["blob"]) for g in got}
-                    mine = iter(parts_of(own, lengths.as_py()))
-                    own = b"".join(place[k] if k in place else next(mine) for k in range(n.as_py()))
-                payload = samples(own)
-                sha = hashlib.sha256(payload)
-                rows.append((obj, len(payload), sha.hexdigest(), zlib.crc32(payload[-UNIT:]), len(own), hashlib.sha256(own).hexdigest(), feature(payload, n.as_py()), sha.digest() == obj))
-            yield pa.RecordBatch.from_pylist([dict(zip(BACK.names, r)) for r in rows], BACK)
+            for obj, seq, n, lengths, blob in zip(*(b.column(c) for c in ("key", "seq", "n_chunks", "lengths", "blob"))):
+                if seq.as_py() >= 0:
+                    got[seq.as_py()] = unz.decompress(blob.as_py())
+                    continue
+                if pack:
+                    rows.append(told(unz, *pack, got))
+                pack, got = (obj.as_py(), n.as_py(), lengths.as_py(), blob.as_py()), {}
+            yield back_batch(rows)
+        if pack:
+            yield back_batch([told(unz, *pack, got)])
 
     return run
 
@@ -279,12 +295,13 @@ def store_and_read(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     reading = read_back(bytes(saved.first()[0]))  # what a reader of the store finds beside it
     packs = alone.where("not shared").unionByName(once.where("not shared"))
     common_chunks = once.where("shared").select(F.col("key").alias("digest"), F.col("blob").alias("chunk"))
-    none = F.lit(None).cast("array<struct<seq:int,blob:binary>>")
-    whole = packs.where(F.size("foreign") == 0).select("key", "n_chunks", "lengths", "blob", none.alias("got"))
+    pack = ("key", F.lit(-1).alias("seq"), "n_chunks", "lengths", "blob")
+    whole = packs.where(F.size("foreign") == 0).select(*pack)
     mixed = packs.where(F.size("foreign") > 0)
     asked = mixed.select("key", F.explode(F.arrays_zip("foreign", "uses")).alias("u")).select("key", F.col("u.foreign").alias("seq"), F.col("u.uses").alias("digest"))
-    brought = asked.join(common_chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("seq", F.col("chunk").alias("blob"))).alias("got"))
-    mixed = mixed.select("key", "n_chunks", "lengths", "blob").join(brought, "key").select("key", "n_chunks", "lengths", "blob", "got")
+    brought = asked.join(common_chunks, "digest").select("key", "seq", F.lit(None).cast("int").alias("n_chunks"), F.lit(None).cast("array<int>").alias("lengths"), F.col("chunk").alias("blob"))
+    # a pack and its chunks meet as rows in order, so no value holds all chunks of an object
+    mixed = mixed.select(*pack).unionByName(brought).repartition("key").sortWithinPartitions("key", "seq")
     back = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, verified boolean"
     read = materialize(whole.mapInArrow(reading, back).unionByName(mixed.mapInArrow(reading, back)), "media-read")
     for done in (objects, stores):

@@ -68,5 +68,27 @@ def test_a_chunk_that_a_third_has(spark):
     assert {x.doc_id: x.payload_sha256 for x in got} == {i: hashlib.sha256(payload(t)).hexdigest() for i, t in rows}
 
 
+def test_reading_holds_one_object_at_a_time():
+    """A pack and its shared chunks are rows of their own, in any cut into batches."""
+    import pyarrow as pa
+
+    z, _ = media.codec(b"")
+    rows, want = [], []
+    for i in range(5):
+        p = payload(f"text {i} " * 300)
+        m = media.wav_header(len(p)) + p
+        parts = [m[:700], m[700:1500], m[1500:]]
+        own = [0, 2] if i % 2 else [0, 1, 2]
+        key = hashlib.sha256(p).digest()
+        rows.append((key, -1, 3, [len(parts[k]) for k in own], z.compress(b"".join(parts[k] for k in own))))
+        rows += [(key, k, None, None, z.compress(parts[k])) for k in range(3) if k not in own]
+        want.append(hashlib.sha256(p).hexdigest())
+    schema = pa.schema([("key", pa.binary()), ("seq", pa.int32()), ("n_chunks", pa.int32()), ("lengths", pa.list_(pa.int32())), ("blob", pa.binary())])
+    for size in (1, 2, 100):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[k : k + size]], schema) for k in range(0, len(rows), size)]
+        got = [r for b in media.read_back(b"")(iter(batches)) for r in b.to_pylist()]
+        assert [r["payload_sha256"] for r in got] == want and all(r["verified"] for r in got)
+
+
 def test_empty(spark):
     assert media.store_and_read(spark.createDataFrame([], "doc_id long, text string")).count() == 0
