@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline
 from geostrata.llm import decontamination, ngram_join
 from geostrata.session import materialize, table
+from tests.llm.test_native import many_templates
 
 DIR = "/root/testdata/sf0.001"
 
@@ -48,3 +49,11 @@ def test_odd_rows_of_each_stage(spark):
             assert out.count() == len(rows)
         assert stage(spark, docs.limit(0), DIR).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count() == len(rows)
+
+
+def test_line_dedup_drops_every_template_of_a_leaf(spark):
+    """Seven templates with fields in one leaf: all documents but each template's first lose their only line and go."""
+    rows, want = many_templates()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_recurring_lines(spark, docs, DIR).collect()}
+    assert kept == {r[0] for r in rows} - want
