@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,16 @@ def test_targets_with_null_and_repeated_ids(spark, ids):
 def test_mixing_ignores_columns_of_any_name(spark):
     df = docs(spark, [(k, "a b c", "s") for k in range(20)]).withColumns({n: F.lit("x") for n in ("target", "b1", "B2", "source_key", "words", "taken", "digest")})
     assert sum(r.taken for r in mixing.mix(df).collect()) == 90
+
+
+def test_nothing_recurs_in_what_is_left(spark, monkeypatch):
+    """Overlapping templates in one leaf, three cores a round: at the end no line has lines of three documents around it, by brute force."""
+    rng = np.random.default_rng(4)
+    rows = [(k, "one two three " + " ".join(f"{'abc'[i]}{place}x" for place, i in zip("abcdefghi", rng.integers(0, 3, 9))), "s") for k in range(36)]
+    monkeypatch.setattr(line_templates, "CORES", 3)
+    left, plain = [], line_templates.cores_of
+    monkeypatch.setattr(line_templates, "cores_of", lambda pool, n: (left.append([r.words for r in pool.select("words").collect()]), plain(pool, n))[1])
+    dropped = sum(r.n_dropped for r in line_templates.drop_recurring(docs(spark, rows)).collect())
+    near = lambda a, b: 10 * sum(x == y for x, y in zip(a, b)) >= 7 * len(a)
+    around = [max(sum(near(a, b) for b in pool) for a in pool) for pool in left]
+    assert dropped > 3 and len(left) > 1 and around[0] >= 3 and around[-1] < 3
