@@ -63,12 +63,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def marked(text: Column) -> Column:
-    """A text with marks where its long lines may be cut; a text that has the mark gets none, and other characters for its own."""
+def marked(text: Column, of: Column | None = None) -> Column:
+    """A text with marks where its long lines may be cut; a text that has the mark gets none, and other characters for its own.
+
+    of: where text is folded, the text it comes from. It has the mark where the folded one has, and asking it folds nothing.
+    """
     cut = text
     for end in CUTS:
         cut = F.replace(cut, F.lit(end), F.lit(end + MARK))
-    return F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\x02"))).otherwise(cut)
+    return F.when(F.contains(text if of is None else of, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\x02"))).otherwise(cut)
 
 
 def spaced(text: Column) -> Column:
@@ -92,7 +95,9 @@ def trimmed(line: Column) -> Column:
 
 def lines_of(docs: DataFrame, *keep: str) -> DataFrame:
     """dkey (a hash of doc_id and text), keep, line (its number) and l (folded and marked) of all lines."""
-    base = docs.select(*keep, F.xxhash64("doc_id", "text").alias("dkey"), spaced(marked(folded(F.col("text")))).alias("f")).where(F.col("f").isNotNull())
+    # null texts go before folding: a filter on what is folded would fold every text once more
+    text = F.col("text")
+    base = docs.where(text.isNotNull()).select(*keep, F.xxhash64("doc_id", "text").alias("dkey"), spaced(marked(folded(text), text)).alias("f"))
     return base.select("dkey", *keep, F.posexplode(F.split("f", "\n")).alias("line", "l"))
 
 
@@ -266,7 +271,7 @@ def without(text: Column, gone: Column) -> Column:
 
     # where the text has the mark itself, no line is cut; a line that isn't cut has one segment
     cut = lambda f, o: F.when((F.octet_length(f) >= LONG_LINE) & F.contains(f, F.lit(MARK)), F.split(o, MARK)).otherwise(F.array(F.replace(o, F.lit(MARK), F.lit(""))))
-    segs = F.when(F.contains(text, F.lit(MARK)), F.transform(F.split(text, "\n"), lambda o: F.array(o))).otherwise(F.zip_with(F.split(marked(folded(text)), "\n"), F.split(marked(text), "\n"), cut))
+    segs = F.when(F.contains(text, F.lit(MARK)), F.transform(F.split(text, "\n"), lambda o: F.array(o))).otherwise(F.zip_with(F.split(marked(folded(text), text), "\n"), F.split(marked(text), "\n"), cut))
     return F.when(F.exists(gone, lambda p: piece_of(p) != 0), let(segs, build)).otherwise(let(F.split(text, "\n"), whole_lines))
 
 

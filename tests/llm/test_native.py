@@ -171,6 +171,17 @@ def test_marks_in_texts(spark):
     assert got[9].text == rows[4][1]
 
 
+def test_texts_are_folded_once(spark):
+    """No filter folds or marks texts that a projection folds as well, and null and empty texts give no lines."""
+    rows = [(1, None, "s"), (2, "", "s"), (3, "A 12\n\n b\x01 ", "s"), (4, "a 7\n \nb\x02", "s")]
+    lined = line_templates.hashed_lines(docs(spark, rows))
+    plan = lined._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert len([x for x in plan if "regexp_replace" in x]) == 1 and not [x for x in plan if "Filter" in x and "regexp_replace" in x]
+    got = lined.collect()
+    assert sorted((r.doc_id, r.place >> line_templates.SHIFT) for r in got) == [(3, 0), (3, 2), (4, 0), (4, 2)]
+    assert len({r.whole for r in got}) == 2
+
+
 def test_passages_in_longer_lines(spark):
     passage = " ".join(f"Word{k} of sentence {k} stands {'x' * (i % 3)} here and is meant." for i, k in enumerate("abcdefghij"))
     own = lambda k: " ".join(f"Only {k} has {i * 7} such {'yz' * i} words{k} in its own{i} line." for i in range(8))
