@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.functions.geometry import following, ring_bounds, ring_contains
+from geostrata.functions.geometry import following
 
 
 def cells_between(lo: Column, hi: Column) -> Column:
@@ -16,12 +16,31 @@ def cells_between(lo: Column, hi: Column) -> Column:
     return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
 
+def burn_edges(edges: DataFrame) -> DataFrame:
+    """(id, row, col) of cells whose centres are inside polygons of edges (id, x0, y0, x1, y1), in cell units, by the even-odd rule.
+
+    On a row of cells an edge turns over all cells whose centres are left of where it crosses. Turns at one cell are
+    counted before any shuffle, so a row costs as many cells as it has, however many edges cross it.
+    """
+    c = F.col
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    e = edges.dropna(subset=["x0", "y0", "x1", "y1"]).where("y0 <> y1").withColumn("row", F.explode(cells_between(low, high)))
+    y = c("row") + F.lit(0.5)
+    e = e.where((c("y0") > y) != (c("y1") > y)).withColumn("x", (c("x1") - c("x0")) * (y - c("y0")) / (c("y1") - c("y0")) + c("x0"))
+    # the first cell whose centre isn't left of the crossing; the difference may be rounded
+    k = F.ceil(c("x") - 0.5)
+    k = F.when(k + F.lit(0.5) < c("x"), k + 1).otherwise(k)
+    turns = e.groupBy("id", "row", k.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    line = Window.partitionBy("id", "row").orderBy("k")
+    runs = turns.withColumns({"after": F.lead("k").over(line), "r": F.row_number().over(line)}).where("r % 2 = 1")
+    return runs.select("id", "row", F.explode(F.sequence(c("k"), c("after") - 1)).alias("col"))
+
+
 def burn_rings(rings: DataFrame) -> DataFrame:
-    """(id, row, col) of cells whose centres are inside each ring (id, r), in cell units."""
-    x0, y0, x1, y1 = ring_bounds(F.col("r"))
-    rows = rings.select("id", "r", x0.alias("x0"), x1.alias("x1"), F.explode(cells_between(y0, y1)).alias("row"))
-    cells = rows.select("id", "r", "row", F.explode(cells_between(F.col("x0"), F.col("x1"))).alias("col"))
-    return cells.where(ring_contains(F.col("r"), F.col("col") + F.lit(0.5), F.col("row") + F.lit(0.5))).select("id", "row", "col")
+    """The same of rings (id, r)."""
+    r = F.col("r")
+    ends = F.zip_with(r, following(r), lambda p, q: F.struct(p.x.alias("x0"), p.y.alias("y0"), q.x.alias("x1"), q.y.alias("y1")))
+    return burn_edges(rings.select("id", F.inline(ends)))
 
 
 def burn_lines(lines: DataFrame) -> DataFrame:

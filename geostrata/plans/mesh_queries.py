@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from geostrata import fixtures as fx
 from geostrata.functions import geometry as geo
-from geostrata.operators import mesh
+from geostrata.operators import mesh, overlay
 from geostrata.plans.raster_queries import rounded
 from geostrata.plans.registry import query
-from geostrata.plans.vector_queries import RING, SHOELACE, rings
+from geostrata.plans.vector_queries import RING, SHOELACE, ring_vertices, rings
 from geostrata.session import table
 
 c = F.col
@@ -20,7 +20,7 @@ CONTAINS = "list_sum(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN (r
 
 @query(f"""WITH {RING}, cell AS (SELECT a AS "row", b AS col, b + 0.5::DOUBLE AS x, a + 0.5::DOUBLE AS y FROM range(-12, 102) p(a), range(0, 98) q(b)) SELECT id, "row", col FROM ring, cell WHERE {CONTAINS}""")
 def polygon_burn(spark, d):
-    return mesh.burn_rings(rings(spark, d))
+    return mesh.burn_edges(overlay.edges_of(ring_vertices(spark, d)))
 
 
 LINES = "ln AS (SELECT s_suppkey AS id, (s_suppkey % 50)::DOUBLE AS x0, (s_suppkey % 31)::DOUBLE AS y0, (s_suppkey * 7 % 64)::DOUBLE AS x1, (s_suppkey * 3 % 40)::DOUBLE AS y1 FROM supplier), n AS (SELECT *, ceil(greatest(abs(x1 - x0), abs(y1 - y0)))::BIGINT AS n FROM ln)"

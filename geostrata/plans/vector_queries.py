@@ -392,7 +392,8 @@ def rings(spark, d) -> DataFrame:
 def ring_vertices(spark, d) -> DataFrame:
     """(id, k, x, y) of the same rings, a row a vertex."""
     k = table(spark, d, "customer").select(c("c_nationkey").alias("id"), c("c_custkey").alias("k"), (c("c_custkey") % 97).cast("double").alias("x"), (c("c_acctbal") / 100).cast("double").alias("y"))
-    return k.join(k.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("id"), "id", "left_semi")
+    many = k.groupBy(c("id").alias("kept")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("kept")
+    return k.join(many, c("id").eqNullSafe(c("kept")), "left_semi")
 
 
 SHOELACE = "list_sum(list_transform(range(1, len(r) + 1), lambda i: r[i].x * r[i % len(r) + 1].y - r[i % len(r) + 1].x * r[i].y)) / 2"
