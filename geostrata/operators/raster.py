@@ -125,6 +125,21 @@ def fill_holes(r: DataFrame, rows: int, cols: int, radius: int) -> DataFrame:
     return near.groupBy(*CELL).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
 
 
+def fill_blocks(r: DataFrame, below: float, size: int, rows: int, cols: int) -> DataFrame:
+    """All cells of the blocks of size x size that have any: the cell's own value where that is below a limit, else the block's least value.
+
+    A block's cells are at most size * size values; the others are made from them in place, so only existing cells are shuffled.
+    """
+    c = F.col
+    cells = r.where((c("row") >= 0) & (c("col") >= 0)).withColumns({"gr": F.floor(c("row") / size), "gc": F.floor(c("col") / size)})
+    own = F.when(c("v") < below, F.struct(((c("row") % size) * size + c("col") % size).cast("int").alias("at"), "v"))
+    blocks = cells.groupBy("gr", "gc").agg(F.min("v").alias("g"), F.collect_list(own).alias("own"))
+    rest = F.array_except(F.sequence(F.lit(0), F.lit(size * size - 1)), F.transform("own", lambda p: p["at"]))
+    every = F.concat("own", F.transform(rest, lambda k: F.struct(k.alias("at"), c("g").alias("v"))))
+    out = blocks.select("gr", "gc", F.inline(every)).select((c("gr") * size + F.floor(c("at") / size)).alias("row"), (c("gc") * size + c("at") % size).alias("col"), "v")
+    return out.where((c("row") < rows) & (c("col") < cols))
+
+
 def labels4(mask: DataFrame, cols: int) -> DataFrame:
     """Components of cells that touch along an edge: (row, col, label), the label the least row * cols + col."""
     cell = mask.select(*CELL, (F.col("row") * cols + F.col("col")).alias("id"))
