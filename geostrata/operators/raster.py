@@ -6,12 +6,18 @@ range windows, so gaps count as gaps and one task holds one line of the raster a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.operators.components import connected_components
 
 CELL = ["row", "col"]
+#: Cells a side of the tiles that a task holds at once.
+TILE = 256
 
 
 def grid_stat(points: DataFrame, dx: float, dy: float, stats: dict[str, Column], x0: float = 0.0, y0: float = 0.0) -> DataFrame:
@@ -76,16 +82,56 @@ def disk(radius: float) -> list[tuple[int, int]]:
     return [(a, b) for a in range(-n, n + 1) for b in range(-n, n + 1) if a * a + b * b <= radius * radius]
 
 
-def disk_stat(r: DataFrame, radius: float, stat) -> DataFrame:
-    """stat (F.max, F.min) over a disk around each existing cell."""
-    return spread(r, disk(radius)).groupBy(*CELL).agg(stat("v").alias("v")).join(r.select(*CELL), CELL, "left_semi")
+def by_tiles(r: DataFrame, halo: int, run: Callable, tile: int) -> DataFrame:
+    """(row, col, v) of tiles. Every cell goes to the tiles that it lies in or at most halo away from: one shuffle, few repeats.
+
+    run(v, there, known, r0, c0) gets arrays of a tile and its halo, whose first cell is (r0, c0): values, whether a cell is there, whether
+    its value isn't null. It gives rows, columns (both in the arrays), values and which of them aren't null.
+    """
+    side = tile + 2 * halo
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        r0, c0 = (k.as_py() * tile - halo for k in key)
+        i, j = table["row"].to_numpy() - r0, table["col"].to_numpy() - c0
+        v, there, known = np.zeros((side, side)), np.zeros((side, side), bool), np.zeros((side, side), bool)
+        there[i, j], known[i, j] = True, table["v"].is_valid().to_numpy()
+        v[i, j] = table["v"].fill_null(0.0).to_numpy()
+        i, j, out, valid = run(v, there, known, r0, c0)
+        return pa.table({"row": i + r0, "col": j + c0, "v": pa.array(out, mask=~valid)})
+
+    at = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    cells = r.where("row is not null and col is not null").select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("v").cast("double"))
+    return cells.withColumn("tr", at("row")).withColumn("tc", at("col")).groupBy("tr", "tc").applyInArrow(one, "row long, col long, v double")
+
+
+def shifted(a: np.ndarray, n: int, offsets: list[tuple[int, int]], fill: float) -> Iterator[np.ndarray]:
+    """The array as seen through each offset of at most n; fill outside."""
+    p = np.pad(a, n, constant_values=fill)
+    for i, j in offsets:
+        yield p[n + i : n + i + a.shape[0], n + j : n + j + a.shape[1]]
 
 
 def disk_open_close(r: DataFrame, radius: float) -> DataFrame:
-    """Grey opening, then closing, with a disk."""
-    for stat in (F.min, F.max, F.max, F.min):
-        r = disk_stat(r, radius, stat)
-    return r
+    """Grey opening, then closing, with a disk around each existing cell; all four passes in tiles."""
+    n, offsets = int(radius), disk(radius)
+
+    def run(v: np.ndarray, there: np.ndarray, known: np.ndarray, r0: int, c0: int) -> tuple:
+        # only the order of values counts: NaN comes last in it, as in Spark
+        order, rank = np.unique(v[known], return_inverse=True)
+        none, a = len(order), np.full(v.shape, -1, np.int32)
+        a[known] = rank
+        for least in (True, False, False, True):
+            a = np.where(a < 0, none, a) if least else a
+            b, meet = a, np.minimum if least else np.maximum
+            for other in shifted(a, n, offsets, none if least else -1):
+                b = meet(b, other)
+            a = np.where(there & (b < none), b, -1)
+        i, j = np.nonzero(there[4 * n : v.shape[0] - 4 * n, 4 * n : v.shape[1] - 4 * n])
+        i, j = i + 4 * n, j + 4 * n
+        got = a[i, j]
+        return i, j, np.append(order, 0.0)[got], got >= 0
+
+    return by_tiles(r, 4 * n, run, TILE)
 
 
 def box_mean3(r: DataFrame, rows: int, cols: int) -> DataFrame:

@@ -27,6 +27,17 @@ def stat(cells, radius, f):
     return out
 
 
+@pytest.mark.parametrize("radius", [1, 2])
+def test_disks_in_tiles(spark, monkeypatch, radius):
+    monkeypatch.setattr(rs, "TILE", 16)
+    cells = cells_of(random.Random(radius), 900, 60)
+    want = cells
+    for f in (min, max, max, min):
+        want = stat(want, radius, f)
+    got = {(r.row, r.col): r.v for r in rs.disk_open_close(frame(spark, cells), radius).collect()}
+    assert {p: repr(v) for p, v in got.items()} == {p: repr(v) for p, v in want.items()}
+
+
 def test_blocks_are_filled_in_place(spark):
     cells = {p: v for p, v in cells_of(random.Random(5), 60, 47).items() if v is None or v == v}
     least = {}
@@ -38,7 +49,7 @@ def test_blocks_are_filled_in_place(spark):
     assert len(got) == len(want) and {(r.row, r.col): r.v for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["dsm_hole_fill"])
+@pytest.mark.parametrize("name", ["grey_open_close_disk", "dsm_hole_fill"])
 def test_no_cell_is_spread_by_offsets(spark, name):
     """A grid of two far corners: what is shuffled follows the cells, not the extent or the window."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
