@@ -164,11 +164,27 @@ def dilate_black(r: DataFrame, radius: int = 2) -> DataFrame:
 
 def fill_holes(r: DataFrame, rows: int, cols: int, radius: int) -> DataFrame:
     """Missing cells take the inverse-distance mean of cells within a square of the radius, where there are any."""
-    offs = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if (a, b) != (0, 0)]
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(1 / (a * a + b * b) ** 0.5).alias("w")) for a, b in offs]))
-    near = r.withColumn("o", o).select((F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"), "v", F.col("o.w").alias("w"))
-    near = near.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)).join(r.select(*CELL), CELL, "left_anti")
-    return near.groupBy(*CELL).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    offsets = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if (a, b) != (0, 0)]
+
+    def run(v: np.ndarray, there: np.ndarray, known: np.ndarray, r0: int, c0: int) -> tuple:
+        near = np.zeros(v.shape, np.int32)
+        for other in shifted(there.astype(np.int32), radius, offsets, 0):
+            near += other
+        hole = ~there & (near > 0)
+        hole[:radius], hole[-radius:], hole[:, :radius], hole[:, -radius:] = False, False, False, False
+        i, j = np.nonzero(hole)
+        inside = (i + r0 >= 0) & (i + r0 < rows) & (j + c0 >= 0) & (j + c0 < cols)
+        i, j = i[inside], j[inside]
+        total, weight, n = np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(i), np.int32)
+        for a, b in offsets:
+            w = 1 / (a * a + b * b) ** 0.5
+            k = i + a, j + b
+            total += v[k] * w
+            weight += there[k] * w
+            n += known[k]
+        return i, j, total / weight, n > 0
+
+    return by_tiles(r, radius, run, TILE)
 
 
 def fill_blocks(r: DataFrame, below: float, size: int, rows: int, cols: int) -> DataFrame:

@@ -38,6 +38,21 @@ def test_disks_in_tiles(spark, monkeypatch, radius):
     assert {p: repr(v) for p, v in got.items()} == {p: repr(v) for p, v in want.items()}
 
 
+def test_holes_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(rs, "TILE", 16)
+    cells = {p: v for p, v in cells_of(random.Random(3), 150, 60).items() if v is None or v == v} | {(41, 0): None, (59, 59): 2.0}
+    want = {}
+    for r in range(60):
+        for c in range(60):
+            near = [(v, (a * a + b * b or 1) ** -0.5) for a in range(-3, 4) for b in range(-3, 4) if (r + a, c + b) in cells for v in [cells[r + a, c + b]]]
+            if (r, c) not in cells and near:
+                some = [v * w for v, w in near if v is not None]
+                want[r, c] = sum(some) / sum(w for _, w in near) if some else None
+    rows = rs.fill_holes(frame(spark, cells), 60, 60, 3).collect()
+    assert len(rows) == len(want) and {(r.row, r.col) for r in rows} == want.keys()
+    assert all(r.v == pytest.approx(want[r.row, r.col], abs=1e-9) if r.v is not None else want[r.row, r.col] is None for r in rows)
+
+
 def test_blocks_are_filled_in_place(spark):
     cells = {p: v for p, v in cells_of(random.Random(5), 60, 47).items() if v is None or v == v}
     least = {}
@@ -49,7 +64,7 @@ def test_blocks_are_filled_in_place(spark):
     assert len(got) == len(want) and {(r.row, r.col): r.v for r in got} == want
 
 
-@pytest.mark.parametrize("name", ["grey_open_close_disk", "dsm_hole_fill"])
+@pytest.mark.parametrize("name", ["grey_open_close_disk", "fill_holes_idw", "dsm_hole_fill"])
 def test_no_cell_is_spread_by_offsets(spark, name):
     """A grid of two far corners: what is shuffled follows the cells, not the extent or the window."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
