@@ -51,8 +51,6 @@ def triangulated_polygons(spark, d):
     """Triangles of all stars, and how many of them are turned over: none, so that their areas add up without overlaps."""
     v = stars(spark, d)
     rings = v.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("r"))
-    t = overlay.triangulated(rings)
-    for n in "abc":
-        t = t.join(v.select("id", F.col("k").cast("int").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")), ["id", n])
+    t = overlay.triangulated(rings, corners=True)
     area = F.expr("((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) / 2")
     return t.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(area), 6).alias("area"), F.sum((area < 0).cast("long")).alias("turned"))
