@@ -309,9 +309,9 @@ def ball_query(spark, d):
 @query(f"WITH {V}, h AS (SELECT q.id AS qid, a.z AS z, {D2} AS d2 FROM vec q, vec a WHERE {D2} < 0.04) SELECT qid, max(z) AS zmax, round(avg(z), 6) AS zavg, round(sum(exp(-5 * sqrt(d2)) * z) / sum(exp(-5 * sqrt(d2))), 6) AS zw, round(pow(avg(pow(abs(z), 3)), 1.0::DOUBLE / 3), 6) AS gem FROM h GROUP BY 1")
 def neighbourhood_pooling(spark, d):
     v = fx.vec(spark, d)
-    h = neighbors.within(v, v, 0.2).join(v.select(c("id").alias("pid"), "z"), "pid")
-    w = F.exp(-5 * F.sqrt("d2"))
-    return h.groupBy("qid").agg(F.max("z").alias("zmax"), F.round(F.avg("z"), 6).alias("zavg"), F.round(F.sum(w * c("z")) / F.sum(w), 6).alias("zw"), F.round(F.pow(F.avg(F.pow(F.abs("z"), F.lit(3.0))), F.lit(1.0 / 3)), 6).alias("gem"))
+    h = neighbors.pooled(v, v, 0.2, "z", 5)
+    gem = F.pow(c("cubes") / c("n"), F.lit(1.0 / 3))
+    return h.select("qid", c("top").alias("zmax"), F.round(c("total") / c("n"), 6).alias("zavg"), F.round(c("weighted") / c("weight"), 6).alias("zw"), F.round(gem, 6).alias("gem"))
 
 
 @query(f"""WITH {V}, nn AS (SELECT q.id, {D2} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {D2}, a.id) AS r FROM vec q, vec a WHERE q.id <> a.id), m AS (SELECT id, avg(sqrt(d2)) AS mean_d FROM nn WHERE r <= 20 GROUP BY 1)
